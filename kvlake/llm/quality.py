@@ -205,9 +205,10 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", fit_rows: i
     rows.  None if no good row is labelled.
     """
     lab = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("_kv_label"))
+    both = stats.where(~base_failed("_kv_")).join(lab, id_col)
+    share = min(1.0, 1.5 * fit_rows / max(1, lab.count()))  # so that tasks send few rows beyond the sample
     rows = (
-        stats.where(~base_failed("_kv_"))
-        .join(lab, id_col)
+        both.where(F.xxhash64(F.col(id_col), F.lit(seed)).cast("double") <= (2 * share - 1) * 2.0**63)
         .orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
         .limit(fit_rows)
         .select("_kv_label", *(F.col(f"_kv_{c}").alias(c) for c in COUNTS))

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, quality
+from . import chat_format, decontaminate, license_scan, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_format(spark, sf_dir):
+    turns = chat_format.canonical_rows(chat_format.with_probe(table(spark, sf_dir, "conversations")))
+    return chat_format.read_back(chat_format.formatted(turns))
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -19,13 +28,17 @@ def op4_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op5_pack_buckets(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_decontaminate, op4_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_decontaminate, op4_pii, op5_pack_buckets, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_scan.oracle(), "op2_chat_format": chat_format.oracle()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, license_scan, near_dup, packing, pii, quality
+from . import chat_format, decontaminate, license_scan, line_chunks, lm_score, near_dup, packing, pii, quality, token_matrix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,16 +32,28 @@ def op5_pack_buckets(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_token_matrix(spark, sf_dir):
+    return token_matrix.token_matrix(table(spark, sf_dir, "documents"))
+
+
+def op7_line_chunks(spark, sf_dir):
+    return line_chunks.report(table(spark, sf_dir, "documents"))
+
+
 def op8_probminhash(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ce_difference(spark, sf_dir):
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_decontaminate, op4_pii, op5_pack_buckets, op8_probminhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_decontaminate, op4_pii, op5_pack_buckets, op6_token_matrix, op7_line_chunks, op8_probminhash, op9_ce_difference, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

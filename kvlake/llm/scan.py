@@ -142,10 +142,10 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool
     """Polynomial hash of each span, from differences of one running sum."""
     if len(start) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
+    up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_byte_values(fold)[data] * up, out=total[1:])
+        np.cumsum(_byte_values(fold)[data] * up[:-1], out=total[1:])
         return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 

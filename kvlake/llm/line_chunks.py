@@ -12,7 +12,8 @@ are compared, and where any differ, nothing of that hash is removed.
 Scale: the first pass shuffles hashes alone; per-hash counts and first places are
 added up before the shuffle, so a chunk that a third of all documents share is one
 row for each task.  The texts move twice, once to be compared and once to be
-rewritten, each time dealt by a key of their own.
+rewritten, each time dealt by a key of their own; these two joins are merge joins at
+every size, since the lists that they bring to the texts grow with the input.
 
 Defined results: a null text stays null; rows with equal id and text are one
 document, so both keep the same chunks; a null id comes after all others; a text
@@ -142,7 +143,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = written(found)
 
     own = found.groupBy("_kv_key").agg(F.collect_list(F.struct(F.col("_kv_chunk").alias("chunk"), F.col("_kv_hash").alias("hash"))).alias("_kv_list"))
-    told = slim.select("_kv_key", text_col).join(own, "_kv_key").select(text_col, "_kv_list").mapInArrow(_teller(text_col), "hash binary, content binary")
+    told = slim.select("_kv_key", text_col).join(own.hint("merge"), "_kv_key").select(text_col, "_kv_list").mapInArrow(_teller(text_col), "hash binary, content binary")
     unlike = told.groupBy("hash").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi")
     gone = found.where("not _kv_first").join(written(unlike.select("hash")), F.col("_kv_hash") == F.col("hash"), "left_anti")
     return written(gone.groupBy("_kv_key").agg(F.collect_list("_kv_chunk").alias("_kv_drop")))
@@ -177,7 +178,7 @@ def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     (first, last + 1), counted from 0 in the old text."""
     drop = repeated(docs, id_col, text_col)
     names = list(docs.columns)
-    both = docs.withColumn("_kv_key", _key(id_col, text_col)).join(drop, "_kv_key", "left").select(*names, "_kv_drop")
+    both = docs.withColumn("_kv_key", _key(id_col, text_col)).join(drop.hint("merge"), "_kv_key", "left").select(*names, "_kv_drop")
     return both.mapInArrow(_rewriter(text_col, names), T.StructType([*docs.schema.fields, T.StructField("_kv_gone", SPANS)]))
 
 

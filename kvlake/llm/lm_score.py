@@ -13,8 +13,8 @@ No document is scored by counts that hold it: documents are dealt to two folds b
 a hash of their text, and each fold is scored by the other's counts.
 
 Scale: every task adds up its documents in dense arrays of fixed size and sends
-the cells that are not zero, so the shuffle grows with the input but stays a
-fraction of it.  The summed tables have a fixed size (about 24 MB) whatever the
+the cells that are not zero, packed, so the shuffle grows with the input but stays a
+fraction of it; the tasks that receive them add part by part.  The summed tables have a fixed size (about 24 MB) whatever the
 input; they alone reach the driver and are broadcast.
 
 Defined results: a token is a run of letters and digits or a run of symbols, A-Z
@@ -41,6 +41,7 @@ MU, ALPHA = 4.0, 0.5
 FOLDS = 2
 WORDS, PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
 CELLS = WORDS + PAIRS
+PART = 4096  # cells that are added up together
 
 
 def token_cells(column: pa.Array):
@@ -76,21 +77,34 @@ def _counter(text_col: str):
                     for k, pick in ((0, (of_fold == f) & of_target), (1, of_fold == f)):
                         count[f, k, :WORDS] += np.bincount(word[pick], minlength=WORDS)
                         count[f, k, WORDS:] += np.bincount(pair[pick], minlength=PAIRS)
-        for f in range(FOLDS):
-            cells = np.flatnonzero(count[f, 1])
-            for at in range(0, len(cells), 100_000):
-                c = cells[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(c + f * CELLS), pa.array(count[f, 0][c]), pa.array(count[f, 1][c])], names=["cell", "target", "whole"])
+        flat = count.transpose(1, 0, 2).reshape(2, FOLDS * CELLS // PART, PART)
+        for at in range(flat.shape[1]):
+            c = np.flatnonzero(flat[1, at])
+            if len(c):
+                packed = [c.astype("<u2").tobytes(), flat[0, at][c].astype("<i8").tobytes(), flat[1, at][c].astype("<i8").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([b], pa.binary()) for b in packed)], names=["part", "at", "target", "whole"])
 
     return run
 
 
+def _adder(batches):
+    """Sums of the parts that one task has: dense, as float32."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, at, *counts in zip(*(c.to_pylist() for c in batch.columns)):
+            have = total.setdefault(part, np.zeros((2, PART), np.int64))
+            have[:, np.frombuffer(at, "<u2")] += [np.frombuffer(c, "<i8") for c in counts]
+    for part, have in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([have.astype("<f4").tobytes()], pa.binary())], names=["part", "counts"])
+
+
 class Models:
     """Counts of both models by fold; float32, of fixed size."""
 
-    def __init__(self, cell: np.ndarray, target: np.ndarray, whole: np.ndarray):
-        count = np.zeros((2, FOLDS * CELLS), np.float32)
-        count[0, cell], count[1, cell] = target, whole
+    def __init__(self, parts):
+        count = np.zeros((2, FOLDS * CELLS // PART, PART), np.float32)
+        for part, counts in parts:
+            count[:, part] = np.frombuffer(counts, "<f4").reshape(2, PART)
         count = count.reshape(2, FOLDS, CELLS)
         self.has_target = bool(count[0].any())
         self.word = count[:, :, :WORDS].copy()
@@ -140,9 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = _dealt(docs, id_col, text_col)
     rows = rows.join(good, rows[id_col] == good["_kv_good"], "left")
     rows = rows.select(text_col, "_kv_fold", F.col("_kv_good").isNotNull().cast("int").alias("_kv_target"))
-    cells = rows.mapInArrow(_counter(text_col), "cell long, target long, whole long")
-    got = cells.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("whole").alias("whole")).toPandas()
-    return Models(got["cell"].to_numpy(np.int64), got["target"].to_numpy(np.float32), got["whole"].to_numpy(np.float32))
+    parts = rows.mapInArrow(_counter(text_col), "part int, at binary, target binary, whole binary")
+    added = parts.repartition("part").mapInArrow(_adder, "part int, counts binary")
+    return Models(added.toLocalIterator())
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,629 @@
-"""All queries and their oracle SQL by name."""
+"""All queries and their oracle SQL by name.
+
+Each query reads the driver tables, runs one operator over all of their rows, and has
+columns named as in its SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keys as K
+from ..functions import numbers as N
+from ..functions.crc import crc32c_col
+from ..model import files_from, last_seq, ops, placed, table, user_key
+from ..operators import compaction as C
+from ..operators import histogram as H
+from ..operators import ranges as R
+from ..operators import versions as V
+from ..operators import visible as S
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+BASE = """
+WITH ops AS (SELECT event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS kind,
+  printf('user%08d', user_id) AS key, CASE WHEN event_type <> 'error' THEN props END AS value FROM events),
+n AS (SELECT max(seq) AS m FROM ops),
+vis AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, kind DESC) AS rn
+  FROM ops) WHERE rn = 1 AND kind = 1),
+placed AS (SELECT ops.*, CAST(substr(key, 5) AS BIGINT) AS uid, (seq * 10) // (m + 1) AS age FROM ops, n),
+seg AS (SELECT *, CAST(CASE WHEN age >= 7 THEN 0 WHEN age >= 4 THEN 1 ELSE 2 END AS BIGINT) AS level,
+  CAST(CASE WHEN age >= 7 THEN 201 + age WHEN age >= 4 THEN 101 + uid // 50 ELSE 1 + uid // 25 END AS BIGINT) AS file_no FROM placed),
+files AS (SELECT level, file_no, count(*) AS num_entries, min(key) AS lo, max(key) AS hi, max(seq) AS max_seq,
+  CAST(sum(length(key) + 8 + coalesce(length(value), 0)) AS BIGINT) AS file_size FROM seg GROUP BY level, file_no)
+"""
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query; ``sql`` follows the base WITH unless it has its own."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = sql if sql.lstrip().startswith("WITH") else BASE + sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
+
+
+def state(spark, d) -> DataFrame:
+    return S.visible_state(ops(spark, d))
+
+
+def segments(spark, d) -> DataFrame:
+    log = ops(spark, d)
+    return placed(log, last_seq(log))
+
+
+def files(spark, d) -> DataFrame:
+    return files_from(segments(spark, d))
+
+
+def customer_keys(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select(user_key(F.col("c_custkey")).alias("key"))
+
+
+def binary(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("binary") for n in names})
+
+
+# Reads
+
+
+@query("SELECT key, value FROM vis")
+def visible_state(spark, d):
+    return state(spark, d)
+
+
+@query("""SELECT key, value FROM (SELECT ops.*, row_number() OVER (PARTITION BY key ORDER BY seq DESC, kind DESC) AS rn
+  FROM ops, n WHERE seq <= m // 2) WHERE rn = 1 AND kind = 1""")
+def visible_state_at_half(spark, d):
+    log = ops(spark, d)
+    return S.visible_state(log, last_seq(log) // 2)
+
+
+@query("SELECT key, value FROM vis ORDER BY key")
+def scan_forward(spark, d):
+    return S.scan(ops(spark, d))
+
+
+@query("SELECT key, value FROM vis ORDER BY key DESC")
+def scan_reverse(spark, d):
+    return S.scan(ops(spark, d), reverse=True)
+
+
+@query("SELECT key, value FROM vis ORDER BY key LIMIT 20")
+def scan_limit(spark, d):
+    return S.scan(ops(spark, d), limit=20)
+
+
+@query("SELECT key, value FROM vis ORDER BY key DESC LIMIT 20")
+def scan_reverse_limit(spark, d):
+    return S.scan(ops(spark, d), reverse=True, limit=20)
+
+
+@query("SELECT key, value FROM vis WHERE key = (SELECT min(key) FROM vis)")
+def get(spark, d):
+    log = ops(spark, d)
+    return S.get(log, S.scan(log, limit=1).first()["key"])
+
+
+@query("SELECT key, value FROM vis WHERE key >= 'user00000007x' ORDER BY key LIMIT 1")
+def seek(spark, d):
+    return S.seek(ops(spark, d), "user00000007x")
+
+
+@query("""SELECT 'next' AS move, min(key) AS key FROM vis WHERE key > 'user00000007'
+  UNION ALL SELECT 'prev', max(key) FROM vis WHERE key < 'user00000007'""")
+def direction_switch(spark, d):
+    log = ops(spark, d)
+    up, down = (S.step(log, "user00000007", f).select(F.lit(n).alias("move"), "key") for f, n in ((True, "next"), (False, "prev")))
+    return up.unionByName(down)
+
+
+@query("SELECT key, value FROM vis WHERE key >= 'user00000005' AND key < 'user00000012'")
+def range_scan(spark, d):
+    return S.scan(ops(spark, d), start="user00000005", limit_key="user00000012")
+
+
+@query("SELECT key, value FROM vis WHERE starts_with(key, 'user0000000')")
+def prefix_scan(spark, d):
+    return S.prefix_scan(ops(spark, d), "user0000000")
+
+
+@query("""SELECT l.key, v.value, v.key IS NOT NULL AS found
+  FROM (SELECT DISTINCT printf('user%08d', c_custkey) AS key FROM customer) l LEFT JOIN vis v ON l.key = v.key""")
+def multi_get(spark, d):
+    return S.multi_get(ops(spark, d), customer_keys(spark, d))
+
+
+@query("""SELECT l.key FROM (SELECT DISTINCT printf('user%08d', c_custkey) AS key FROM customer) l
+  WHERE NOT EXISTS (SELECT 1 FROM vis v WHERE v.key = l.key)""")
+def get_missing(spark, d):
+    return S.missing(ops(spark, d), customer_keys(spark, d))
+
+
+@query("""SELECT l.key, count(*) AS lookups, any_value(v.value) AS value FROM (SELECT printf('user%08d', o_custkey % 10) AS key FROM orders) l
+  LEFT JOIN vis v ON l.key = v.key GROUP BY l.key""")
+def get_hot(spark, d):
+    """Lookups crowded on ten keys: they are counted before the join."""
+    asked = table(spark, d, "orders").select(user_key(F.col("o_custkey") % 10).alias("key")).groupBy("key").agg(F.count("*").alias("lookups"))
+    return asked.join(S.multi_get(ops(spark, d), asked), "key").select("key", "lookups", "value")
+
+
+@query("""SELECT t.key AS target, min(v.key) AS found FROM (SELECT DISTINCT printf('user%08d', s_suppkey * 3) AS key FROM supplier) t
+  LEFT JOIN vis v ON v.key >= t.key GROUP BY t.key""")
+def multi_seek(spark, d):
+    return S.multi_seek(ops(spark, d), table(spark, d, "supplier").select(user_key(F.col("s_suppkey") * 3).alias("target")))
+
+
+@query("SELECT key, seq, kind, value FROM ops")
+def internal_scan(spark, d):
+    rows = segments(spark, d)
+    return S.internal_scan(*(rows.where(F.col("level") == n) for n in range(3)))
+
+
+@query("SELECT key, seq, kind, value FROM ops ORDER BY key, seq DESC, kind DESC")
+def merge_sorted(spark, d):
+    rows = segments(spark, d)
+    return S.merge_sorted(*(rows.where(F.col("level") == n) for n in range(3)))
+
+
+@query("""SELECT f.level, f.file_no, s.key, s.seq FROM files f JOIN seg s ON s.level = f.level AND s.file_no = f.file_no
+  WHERE f.level >= 1 ORDER BY 1, 2, 3, 4 DESC""")
+def two_level_scan(spark, d):
+    """Index entries in order, and for each the entries of its block."""
+    index = files(spark, d).where("level >= 1").select("level", "file_no")
+    return index.join(segments(spark, d).select("level", "file_no", "key", "seq"), ["level", "file_no"]).orderBy("level", "file_no", "key", F.desc("seq"))
+
+
+@query("SELECT key, seq FROM ops o WHERE seq < (SELECT max(seq) FROM ops p WHERE p.key = o.key)")
+def hidden_versions(spark, d):
+    return S.hidden_versions(ops(spark, d))
+
+
+@query("SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC, kind DESC) AS rn FROM ops")
+def version_rank(spark, d):
+    return S.version_rank(ops(spark, d))
+
+
+# Compaction
+
+
+@query("""SELECT key, seq, kind FROM (SELECT ops.*, m * 6 // 10 AS ss,
+  lag(seq) OVER (PARTITION BY key ORDER BY seq DESC, kind DESC) AS prev FROM ops, n)
+  WHERE NOT coalesce(prev <= ss, false) AND NOT (kind = 0 AND seq <= ss)""")
+def compact_retain(spark, d):
+    log = ops(spark, d)
+    return C.retain(log, last_seq(log) * 6 // 10).select("key", "seq", "kind")
+
+
+@query("""SELECT key, seq, kind FROM (SELECT ops.*, m * 6 // 10 AS ss,
+  lag(seq) OVER (PARTITION BY key ORDER BY seq DESC, kind DESC) AS prev FROM ops, n) o
+  WHERE NOT coalesce(prev <= ss, false) AND NOT (kind = 0 AND seq <= ss AND NOT EXISTS
+  (SELECT 1 FROM files f WHERE f.level = 2 AND f.file_no <= 3 AND o.key BETWEEN f.lo AND f.hi))""")
+def compact_retain_over_base(spark, d):
+    log = ops(spark, d)
+    deeper = files(spark, d).where("level = 2 and file_no <= 3")
+    return C.retain(log, last_seq(log) * 6 // 10, deeper).select("key", "seq", "kind")
+
+
+@query("""SELECT DISTINCT s.key FROM seg s WHERE s.level = 0
+  AND NOT EXISTS (SELECT 1 FROM files f WHERE f.level >= 2 AND f.file_no <= 3 AND s.key BETWEEN f.lo AND f.hi)""")
+def base_level_keys(spark, d):
+    return V.base_level_keys(segments(spark, d).where("level = 0"), files(spark, d).where("level >= 2 and file_no <= 3"))
+
+
+@query("""SELECT level, CAST(CASE WHEN level = 0 THEN count(*) / 4.0
+  ELSE CAST(sum(file_size) AS DOUBLE) / (10485760.0 * pow(10, level - 1)) END AS DOUBLE) AS score FROM files GROUP BY level""")
+def compaction_score(spark, d):
+    return C.score(files(spark, d))
+
+
+@query("""SELECT level, score FROM (SELECT level, CAST(CASE WHEN level = 0 THEN count(*) / 4.0
+  ELSE CAST(sum(file_size) AS DOUBLE) / (10485760.0 * pow(10, level - 1)) END AS DOUBLE) AS score FROM files GROUP BY level)
+  ORDER BY score DESC, level LIMIT 1""")
+def level_to_compact(spark, d):
+    return C.level_to_compact(files(spark, d))
+
+
+@query("""SELECT level, coalesce(min_by(file_no, hi) FILTER (hi > 'user00000060'), min_by(file_no, lo)) AS file_no
+  FROM files WHERE level >= 1 GROUP BY level""")
+def pick_compaction(spark, d):
+    return C.pick_files(files(spark, d), "user00000060")
+
+
+@query("SELECT file_no, CAST(greatest(100, file_size // 16384) AS BIGINT) AS allowed_seeks FROM files")
+def allowed_seeks(spark, d):
+    return C.allowed_seeks(files(spark, d))
+
+
+@query("""SELECT a.level, a.file_no FROM files a WHERE NOT EXISTS
+  (SELECT 1 FROM files b WHERE b.level = a.level + 1 AND a.lo <= b.hi AND b.lo <= a.hi)""")
+def trivial_moves(spark, d):
+    return V.trivial_moves(files(spark, d))
+
+
+@query()
+def block_cut(spark, d):
+    """Entries of each file with the number of the block that a 4 KiB limit puts them in."""
+    rows = segments(spark, d).select("file_no", "key", "seq", (F.length("key") + 8 + F.coalesce(F.length("value"), F.lit(0))).cast("long").alias("bytes"), (-F.col("seq")).alias("newest"))
+    return C.greedy_cut(rows, "file_no", ["key", "newest"], "bytes", 4096).select("file_no", "key", "seq", F.col("part").alias("block"))
+
+
+@query()
+def grandparent_cut(spark, d):
+    """Level 1 keys cut where more than 2000 bytes of level 2 files have been passed."""
+    rows = segments(spark, d).where("level = 1").select("file_no", "key").distinct()
+    return C.grandparent_cut(rows, "file_no", files(spark, d).where("level = 2"), 2000).select("file_no", "key", "part")
+
+
+# Versions and files
+
+
+@query("SELECT level, count(*) AS files, CAST(sum(num_entries) AS BIGINT) AS entries, CAST(sum(file_size) AS BIGINT) AS bytes FROM files GROUP BY level")
+def level_summary(spark, d):
+    return V.level_summary(files(spark, d))
+
+
+@query("SELECT level, min(lo) AS smallest, max(hi) AS largest FROM files GROUP BY level")
+def key_range(spark, d):
+    return V.key_range(files(spark, d))
+
+
+@query("SELECT k.key, f.level, min_by(f.file_no, f.hi) AS file_no FROM vis k JOIN files f ON f.level >= 1 AND f.hi >= k.key GROUP BY k.key, f.level")
+def find_file(spark, d):
+    return V.find_file(state(spark, d), files(spark, d))
+
+
+@query("SELECT k.key, f.level, f.file_no FROM vis k JOIN files f ON k.key BETWEEN f.lo AND f.hi")
+def files_for_key(spark, d):
+    return V.files_for_key(state(spark, d), files(spark, d))
+
+
+@query("SELECT DISTINCT a.file_no FROM files a JOIN files b ON b.level = a.level + 1 AND a.lo <= b.hi AND b.lo <= a.hi")
+def overlap_in_level(spark, d):
+    return V.overlap_in_level(files(spark, d))
+
+
+@query("""SELECT a.level, a.file_no, b.file_no AS next_file_no, b.file_size FROM files a
+  JOIN files b ON b.level = a.level + 1 AND a.lo <= b.hi AND b.lo <= a.hi""")
+def overlapping_inputs(spark, d):
+    return V.next_level_overlaps(files(spark, d))
+
+
+@query("""SELECT file_no, CAST(sum(CASE WHEN lo > top THEN 1 ELSE 0 END) OVER (ORDER BY lo, file_no) AS BIGINT) AS island FROM
+  (SELECT *, max(hi) OVER (ORDER BY lo, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM files WHERE level = 0)""")
+def overlap_islands(spark, d):
+    return V.overlap_islands(files(spark, d))
+
+
+@query("""SELECT CAST(max(s) AS BIGINT) AS bytes FROM (SELECT a.file_no, sum(b.file_size) AS s FROM files a
+  JOIN files b ON b.level = a.level + 1 AND a.lo <= b.hi AND b.lo <= a.hi WHERE a.level >= 1 GROUP BY a.file_no)""")
+def max_next_level_overlap(spark, d):
+    return V.max_next_level_overlap(files(spark, d))
+
+
+@query("""SELECT r.id, CAST(CASE WHEN bool_or(f.level = 0) THEN 0 WHEN bool_or(f.level = 1) OR coalesce(sum(f.file_size) FILTER (f.level = 2), 0) > 20971520 THEN 0
+  WHEN bool_or(f.level = 2) THEN 1 ELSE 2 END AS BIGINT) AS level
+  FROM (SELECT n_nationkey AS id, printf('user%08d', n_nationkey * 500) AS lo, printf('user%08d', n_nationkey * 500 + 40) AS hi FROM nation) r
+  LEFT JOIN files f ON f.lo <= r.hi AND r.lo <= f.hi GROUP BY r.id""")
+def memtable_output_level(spark, d):
+    base = F.col("n_nationkey") * 500
+    asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), user_key(base).alias("lo"), user_key(base + 40).alias("hi"))
+    return V.memtable_output_level(asked, files(spark, d), 20 << 20)
+
+
+@query("SELECT file_no FROM files WHERE level = 0 UNION SELECT file_no FROM files WHERE level >= 1")
+def live_files(spark, d):
+    f = files(spark, d)
+    return V.live_files(f.where("level = 0"), f.where("level >= 1"))
+
+
+@query("""SELECT file_no FROM (SELECT file_no, 1 AS e, 'add' AS op FROM files
+  UNION ALL SELECT file_no, 2, 'remove' FROM files WHERE level = 0
+  UNION ALL SELECT file_no, 3, 'add' FROM files WHERE file_no = 209) GROUP BY file_no HAVING max_by(op, e) = 'add'""")
+def version_apply(spark, d):
+    f = files(spark, d)
+    edit = lambda rows, n, op: rows.select("file_no", F.lit(n).alias("edit_no"), F.lit(op).alias("op"))
+    return V.apply_edits(edit(f, 1, "add").unionByName(edit(f.where("level = 0"), 2, "remove")).unionByName(edit(f.where("file_no = 209"), 3, "add")))
+
+
+@query("SELECT d.file_no FROM (SELECT range AS file_no FROM range(1, 215)) d WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.file_no = d.file_no)")
+def obsolete_files(spark, d):
+    return V.obsolete(spark.range(1, 215).withColumnRenamed("id", "file_no"), files(spark, d))
+
+
+@query("SELECT file_no FROM files WHERE file_no % 7 <> 0 EXCEPT SELECT range FROM range(1, 205)")
+def missing_files(spark, d):
+    """Files that the version names and the directory lacks."""
+    return V.obsolete(files(spark, d).where("file_no % 7 <> 0"), spark.range(1, 205).withColumnRenamed("id", "file_no"))
+
+
+@query("""SELECT r.lo, r.hi, CAST(coalesce(sum(length(key) + length(value)), 0) AS BIGINT) AS bytes
+  FROM (VALUES ('user00000000','user00000050'), ('user00000050','user00000100'), ('x','y')) r(lo, hi)
+  LEFT JOIN vis ON key >= r.lo AND key < r.hi GROUP BY r.lo, r.hi""")
+def approximate_sizes(spark, d):
+    asked = spark.createDataFrame([("user00000000", "user00000050"), ("user00000050", "user00000100"), ("x", "y")], "lo string, hi string")
+    return V.approximate_sizes(state(spark, d), asked)
+
+
+@query("SELECT file_no, count(*) AS entries, min(key) AS smallest, max(key) AS largest, max(seq) AS max_sequence FROM seg GROUP BY file_no")
+def repair_metadata(spark, d):
+    return V.repair_metadata(segments(spark, d))
+
+
+@query("SELECT level, count(*) AS n_files FROM files GROUP BY level")
+def prop_num_files(spark, d):
+    return files(spark, d).groupBy("level").agg(F.count("*").alias("n_files"))
+
+
+@query("SELECT level, file_no, printf(' %d:%d[''%s'' .. ''%s'']', file_no, file_size, lo, hi) AS line FROM files")
+def prop_sstables(spark, d):
+    return files(spark, d).select("level", "file_no", F.format_string(" %d:%d['%s' .. '%s']", "file_no", "file_size", "lo", "hi").alias("line"))
+
+
+# Batches
+
+
+@query("SELECT m + row_number() OVER (ORDER BY n_nationkey) AS seq, printf('nation%04d', n_nationkey) AS key, n_name AS value FROM nation, n")
+def apply_batch(spark, d):
+    batch = R.global_index(table(spark, d, "nation"), "n_nationkey")
+    return batch.select((F.lit(last_seq(ops(spark, d)) + 1) + F.col("idx")).alias("seq"), F.format_string("nation%04d", "n_nationkey").alias("key"), F.col("n_name").alias("value"))
+
+
+@query("""SELECT CAST(12 + sum(CASE WHEN kind = 1 THEN 3 + length(key) + length(value) ELSE 2 + length(key) END) AS BIGINT) AS bytes
+  FROM ops WHERE seq <= 100""")
+def batch_size(spark, d):
+    from ..sources.batch import encoded_size
+
+    return encoded_size(ops(spark, d).where("seq <= 100"))
+
+
+@query("SELECT key, (row_number() OVER (ORDER BY key) - 1) % 16 = 0 AS is_restart, lag(key) OVER (ORDER BY key) AS prev_key FROM vis")
+def prefix_compress(spark, d):
+    return R.global_index(state(spark, d), "key").select("key", (F.col("idx") % 16 == 0).alias("is_restart"), F.col("prev").alias("prev_key"))
+
+
+@query("""SELECT record, string_agg(part, '' ORDER BY pos) AS data FROM (SELECT seq, key, p AS pos, substr(key, (p - 1) * 5 + 1, 5) AS part, seq AS record
+  FROM ops, (SELECT unnest([1, 2, 3]) AS p)) GROUP BY record""")
+def log_reassemble(spark, d):
+    """Each key cut to fragments of five bytes (first, middle, last) and put together
+    by islands of fragments that begin with a first or full one."""
+    from ..sources.wal import reassemble
+
+    log = ops(spark, d).select("seq", "key")
+    parts = log.select("seq", F.posexplode(F.array(*(F.substring("key", 5 * k + 1, 5) for k in range(3)))).alias("pos", "data"))
+    physical = parts.select((F.col("seq") * 3 + F.col("pos")).alias("offset"), F.element_at(F.array(F.lit(2), F.lit(3), F.lit(4)), F.col("pos") + 1).alias("type"), "data", F.floor(F.col("seq") / 1000).alias("log"))
+    return reassemble(physical, by="log").select(((F.col("offset")) / 3).cast("long").alias("record"), "data")
+
+
+# Functions
+
+
+@query("""SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_name < b.n_name THEN -1 WHEN a.n_name > b.n_name THEN 1 ELSE 0 END AS c FROM nation a, nation b""")
+def slice_compare(spark, d):
+    n = table(spark, d, "nation")
+    # both sides are the fixed table of nations
+    return n.select(F.col("n_name").alias("a")).crossJoin(n.select(F.col("n_name").alias("b"))).select("a", "b", K.compare(F.col("a"), F.col("b")).alias("c"))
+
+
+@query("""SELECT o_orderkey AS v, CAST(CASE WHEN o_orderkey < 128 THEN 1 WHEN o_orderkey < 16384 THEN 2 WHEN o_orderkey < 2097152 THEN 3
+  WHEN o_orderkey < 268435456 THEN 4 ELSE 5 END AS BIGINT) AS len FROM orders""")
+def varint_length(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("v"), N.varint_length(F.col("o_orderkey")).alias("len"))
+
+
+@query("SELECT event_id, regexp_extract(CAST(value AS VARCHAR), '^[0-9]+') AS digits FROM events WHERE value = floor(value)")
+def consume_decimal(spark, d):
+    rows = table(spark, d, "events").where("value = floor(value)")
+    return rows.select("event_id", N.consume_decimal(F.col("value").cast("string"))[0].alias("digits"))
+
+
+@query("SELECT file_no, printf('%06d.sst', file_no) AS name FROM files")
+def make_filename(spark, d):
+    return files(spark, d).select("file_no", N.file_name(F.col("file_no"), "table").alias("name"))
+
+
+@query("""SELECT name, CASE WHEN k < 4 THEN file_no WHEN k = 4 THEN 0 END AS number,
+  CASE k WHEN 0 THEN 'log' WHEN 1 THEN 'table' WHEN 2 THEN 'temp' WHEN 3 THEN 'manifest' WHEN 4 THEN 'lock' END AS kind
+  FROM (SELECT file_no, file_no % 6 AS k, CASE file_no % 6 WHEN 0 THEN printf('%06d.log', file_no) WHEN 1 THEN printf('%06d.ldb', file_no)
+  WHEN 2 THEN printf('%06d.dbtmp', file_no) WHEN 3 THEN printf('MANIFEST-%06d', file_no) WHEN 4 THEN 'LOCK' ELSE printf('%06dx.sst', file_no) END AS name FROM files)""")
+def parse_filename(spark, d):
+    n = F.col("file_no")
+    name = F.when(n % 6 == 0, N.file_name(n, "log")).when(n % 6 == 1, F.format_string("%06d.ldb", n)).when(n % 6 == 2, N.file_name(n, "temp"))
+    name = name.when(n % 6 == 3, N.file_name(n, "manifest")).when(n % 6 == 4, F.lit("LOCK")).otherwise(F.format_string("%06dx.sst", n))
+    named = files(spark, d).select(name.alias("name"))
+    number, kind = N.parse_file_name(F.col("name"))
+    return named.select("name", number.alias("number"), kind.alias("kind"))
+
+
+@query("SELECT lpad(CAST(o_orderkey AS VARCHAR), 16, '0') AS key FROM orders")
+def bench_keys(spark, d):
+    return table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 16, "0").alias("key"))
+
+
+@query("""SELECT CAST(CASE WHEN value <= 1 THEN 0 ELSE least(127, CAST(ceil(log2(value) * 4) AS BIGINT)) END AS BIGINT) AS bucket, count(*) AS c
+  FROM events GROUP BY 1""")
+def latency_histogram(spark, d):
+    return H.buckets(table(spark, d, "events"), "value")
+
+
+@query("""SELECT event_type, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS deviation, min(value) AS least, max(value) AS most FROM events GROUP BY event_type""")
+def latency_summary(spark, d):
+    return H.summary(table(spark, d, "events"), "value", ["event_type"]).drop("p50", "p95", "p99")
+
+
+@query("""SELECT event_type, p, least(greatest(CASE WHEN min(bucket) = 0 THEN 1.0 ELSE pow(2.0, min(bucket) / 4.0) END, any_value(lo)), any_value(hi)) AS latency FROM
+ (SELECT event_type, bucket, lo, hi, n, sum(c) OVER (PARTITION BY event_type ORDER BY bucket) AS upto FROM
+  (SELECT event_type, CASE WHEN value <= 1 THEN 0 ELSE least(127, CAST(ceil(log2(value) * 4) AS BIGINT)) END AS bucket, count(*) AS c,
+   min(min(value)) OVER (PARTITION BY event_type) AS lo, max(max(value)) OVER (PARTITION BY event_type) AS hi, sum(count(*)) OVER (PARTITION BY event_type) AS n
+   FROM events GROUP BY 1, 2)), (SELECT unnest([50, 95, 99]) AS p) WHERE upto >= (n * p + 99) // 100 GROUP BY event_type, p""")
+def latency_percentiles(spark, d):
+    wide = H.summary(table(spark, d, "events"), "value", ["event_type"])
+    return wide.unpivot(["event_type"], ["p50", "p95", "p99"], "q", "latency").select("event_type", F.substring("q", 2, 2).cast("long").alias("p"), "latency")
+
+
+@query("""SELECT user_id, CAST(sum(length(props)) AS BIGINT) AS bytes, CAST(sum(length(props)) AS DOUBLE) / nullif(sum(value), 0) AS rate FROM events GROUP BY user_id""")
+def throughput(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.sum(F.length("props")).alias("bytes"), F.sum("value").alias("t"))
+    return e.select("user_id", "bytes", (F.col("bytes").cast("double") / F.nullif("t", F.lit(0.0))).alias("rate"))
+
+
+_MUL = "((({0}) * 3332679571) & 4294967295)"
+_W = "(ascii(substr(key,{0},1)) + (ascii(substr(key,{1},1)) << 8) + (ascii(substr(key,{2},1)) << 16) + (ascii(substr(key,{3},1))::HUGEINT << 24))"
+
+
+@query(f"""{BASE}, k AS (SELECT DISTINCT key FROM ops),
+ s0 AS (SELECT key, xor(3164544308::HUGEINT, {_MUL.format('12::HUGEINT')}) AS h FROM k),
+ a1 AS (SELECT key, {_MUL.format('(h + ' + _W.format(1, 2, 3, 4) + ') & 4294967295')} AS h FROM s0), b1 AS (SELECT key, xor(h, h >> 16) AS h FROM a1),
+ a2 AS (SELECT key, {_MUL.format('(h + ' + _W.format(5, 6, 7, 8) + ') & 4294967295')} AS h FROM b1), b2 AS (SELECT key, xor(h, h >> 16) AS h FROM a2),
+ a3 AS (SELECT key, {_MUL.format('(h + ' + _W.format(9, 10, 11, 12) + ') & 4294967295')} AS h FROM b2)
+ SELECT key, CAST(xor(h, h >> 16) AS BIGINT) AS hash FROM a3""")
+def hash32(spark, d):
+    return ops(spark, d).select("key").distinct().select("key", N.hash32(F.col("key").cast("binary")).alias("hash"))
+
+
+@query()
+def bloom_bits(spark, d):
+    """The bits of one filter over all keys, at ten bits a key: bit positions that are set."""
+    keys = ops(spark, d).select("key").distinct()
+    bits = N.bloom_size(keys.count(), 10)
+    return keys.select(F.explode(N.bloom_bits(F.col("key").cast("binary"), F.lit(bits), N.bloom_probes(10))).alias("bit")).distinct()
+
+
+@query()
+def bloom_probe(spark, d):
+    """Customers' keys against the filter: all bits set means that the key may be there."""
+    keys = ops(spark, d).select("key").distinct()
+    bits = N.bloom_size(keys.count(), 10)
+    asked = customer_keys(spark, d).distinct().select("key", F.explode(F.array_distinct(N.bloom_bits(F.col("key").cast("binary"), F.lit(bits), N.bloom_probes(10)))).alias("bit"))
+    hits = asked.join(bloom_bits(spark, d).withColumn("is_set", F.lit(1)), "bit", "left")
+    return hits.groupBy("key").agg((F.count("*") == F.sum(F.coalesce("is_set", F.lit(0)))).alias("may_match"))
+
+
+@query("""SELECT o_orderkey AS crc, CAST((((o_orderkey >> 15) | ((o_orderkey::HUGEINT << 17) & 4294967295)) + 2726488792) & 4294967295 AS BIGINT) AS masked,
+  o_orderkey AS unmasked FROM orders""")
+def crc_mask(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("crc"))
+    return rows.withColumn("masked", N.crc_mask(F.col("crc"))).withColumn("unmasked", N.crc_unmask(F.col("masked")))
+
+
+@query()
+def crc32c(spark, d):
+    return ops(spark, d).select("key").distinct().select("key", crc32c_col(F.col("key").cast("binary")).alias("crc"))
+
+
+@query("""SELECT k.key, n.next, CASE WHEN i IS NULL OR ascii(substr(k.key, i, 1)) + 1 >= ascii(substr(n.next, i, 1)) THEN k.key
+  ELSE substr(k.key, 1, i - 1) || chr(ascii(substr(k.key, i, 1)) + 1) END AS separator
+  FROM (SELECT key FROM vis) k JOIN (SELECT key, lead(key) OVER (ORDER BY key) AS next FROM vis) n ON k.key = n.key
+  LEFT JOIN (SELECT a.key, min(p) AS i FROM (SELECT key, lead(key) OVER (ORDER BY key) AS nx FROM vis) a, (SELECT unnest(range(1, 13)) AS p)
+  WHERE substr(a.key, p, 1) <> substr(nx, p, 1) GROUP BY a.key) f ON f.key = k.key WHERE n.next IS NOT NULL""")
+def shortest_separator(spark, d):
+    pairs = R.global_index(state(spark, d), "key").where("prev is not null").select(F.col("prev").alias("key"), F.col("key").alias("next"))
+    return pairs.select("key", "next", K.shortest_separator(F.col("key").cast("binary"), F.col("next").cast("binary")).cast("string").alias("separator"))
+
+
+@query("SELECT key, chr(ascii(substr(key, 1, 1)) + 1) AS successor FROM vis")
+def short_successor(spark, d):
+    return state(spark, d).select("key", K.short_successor(F.col("key").cast("binary")).cast("string").alias("successor"))
+
+
+@query("""SELECT key, seq, regexp_replace(key || value, '"', '"', 'g') AS escaped FROM ops WHERE value IS NOT NULL""")
+def escape_string(spark, d):
+    rows = ops(spark, d).where("value is not null")
+    return rows.select("key", "seq", K.escape(F.concat("key", "value").cast("binary")).alias("escaped"))
+
+
+@query("""SELECT o_orderkey AS v, lpad(to_hex(o_orderkey), 8, '0')[7:8] || lpad(to_hex(o_orderkey), 8, '0')[5:6] || lpad(to_hex(o_orderkey), 8, '0')[3:4] || lpad(to_hex(o_orderkey), 8, '0')[1:2] AS fixed32,
+  o_orderkey AS decoded FROM orders""")
+def fixed_coding(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("v"), K.fixed(F.col("o_orderkey"), 4).alias("f32"), K.fixed(F.col("o_orderkey"), 8).alias("f64"))
+    return rows.select("v", F.hex("f32").alias("fixed32"), K.fixed_value(F.col("f64"), F.lit(0), 8).alias("decoded"))
+
+
+def _tags(spark, d) -> DataFrame:
+    rows = ops(spark, d).select("key", "seq", "kind")
+    return rows.withColumn("internal", K.internal_key(F.col("key").cast("binary"), F.col("seq"), F.col("kind")))
+
+
+@query("""SELECT key, seq, hex(encode(key)) || h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS internal
+  FROM (SELECT key, seq, lpad(to_hex(seq * 256 + kind), 16, '0') AS h FROM ops)""")
+def internal_key_encode(spark, d):
+    return _tags(spark, d).select("key", "seq", F.hex("internal").alias("internal"))
+
+
+@query("SELECT key, seq, kind, true AS valid FROM ops")
+def internal_key_parse(spark, d):
+    parts = K.internal_key_parts(F.col("internal"))
+    out = _tags(spark, d).select(*(c.alias(n) for n, c in parts.items()))
+    return out.select(F.col("key").cast("string").alias("key"), "seq", "kind", "valid")
+
+
+@query("""WITH RECURSIVE r AS (SELECT n_nationkey AS seed, 0 AS i, CAST(CASE WHEN n_nationkey = 0 THEN 1 ELSE n_nationkey END AS BIGINT) AS x FROM nation
+  UNION ALL SELECT seed, i + 1, x * 16807 % 2147483647 FROM r WHERE i < 20) SELECT seed, x AS number FROM r WHERE i = 20""")
+def lehmer_random(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("seed"), N.lehmer(F.col("n_nationkey"), F.lit(20)).alias("number"))
+
+
+@query("""SELECT file_no, seq, '''' || key || ''' @ ' || seq || ' : ' || CASE kind WHEN 1 THEN 'val' ELSE 'del' END || ' => ''' || coalesce(value, '') || '''' AS line FROM seg""")
+def dump_table(spark, d):
+    from ..sources.dump import table_lines
+
+    return table_lines(binary(segments(spark, d), "key", "value")).select("file_no", "seq", "line")
+
+
+@query("""SELECT seq, CASE kind WHEN 1 THEN '  put ''' || key || ''' ''' || value || '''' ELSE '  del ''' || key || '''' END AS line FROM ops""")
+def dump_log(spark, d):
+    from ..sources.dump import log_lines
+
+    return log_lines(binary(ops(spark, d), "key", "value")).select("seq", "line")
+
+
+@query("SELECT key, seq, kind, value FROM ops")
+def wal_decode(spark, d):
+    """The whole op log written as binary logs, one for each input partition, and read
+    back through the data source."""
+    from ..sources.wal import read_wal, write_wal
+    from ..store import scratch
+
+    path = scratch(spark, "wal")
+    write_wal(binary(ops(spark, d), "key", "value"), path)
+    out = read_wal(spark, path)
+    return out.select(F.col("key").cast("string").alias("key"), "seq", F.col("kind").cast("int").alias("kind"), F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT key, value FROM vis")
+def store_round_trip(spark, d):
+    """The op log loaded into a store in four segments, compacted, and read back."""
+    from ..store import KVStore, scratch
+
+    log = binary(ops(spark, d), "key", "value")
+    last = last_seq(log)
+    with KVStore.open(spark, scratch(spark, "store"), create_if_missing=True) as db:
+        for k in range(4):
+            db.append_ops(log.where((F.col("seq") * 4 / (last + 1)).cast("int") == k))
+        db.compact()
+        return db.state().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT key, value FROM vis")
+def stream_state(spark, d):
+    """The op log as a stream of changes, folded to the newest entry of each key."""
+    from ..store import scratch
+    from ..streaming.ingest import replay
+
+    log = binary(ops(spark, d), "key", "value")
+    out = replay(spark, log, scratch(spark, "stream"))
+    return out.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))

@@ -81,7 +81,7 @@ def _counter(text_col: str):
         for at in range(flat.shape[1]):
             c = np.flatnonzero(flat[1, at])
             if len(c):
-                packed = [c.astype("<u2").tobytes(), flat[0, at][c].astype("<i8").tobytes(), flat[1, at][c].astype("<i8").tobytes()]
+                packed = [c.astype("<u2").tobytes(), flat[0, at][c].astype("<u4").tobytes(), flat[1, at][c].astype("<u4").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([b], pa.binary()) for b in packed)], names=["part", "at", "target", "whole"])
 
     return run
@@ -93,7 +93,7 @@ def _adder(batches):
     for batch in batches:
         for part, at, *counts in zip(*(c.to_pylist() for c in batch.columns)):
             have = total.setdefault(part, np.zeros((2, PART), np.int64))
-            have[:, np.frombuffer(at, "<u2")] += [np.frombuffer(c, "<i8") for c in counts]
+            have[:, np.frombuffer(at, "<u2")] += [np.frombuffer(c, "<u4") for c in counts]
     for part, have in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([have.astype("<f4").tobytes()], pa.binary())], names=["part", "counts"])
 
@@ -152,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     small_batches(docs.sparkSession)
     good = labels.where(F.col(label) == 1).select(F.col(id_col).alias("_kv_good")).distinct()
     rows = _dealt(docs, id_col, text_col)
-    rows = rows.join(good, rows[id_col] == good["_kv_good"], "left")
+    # a merge join at every size: the labels grow with the input
+    rows = rows.join(good.hint("merge"), rows[id_col] == good["_kv_good"], "left")
     rows = rows.select(text_col, "_kv_fold", F.col("_kv_good").isNotNull().cast("int").alias("_kv_target"))
     parts = rows.mapInArrow(_counter(text_col), "part int, at binary, target binary, whole binary")
     added = parts.repartition("part").mapInArrow(_adder, "part int, counts binary")

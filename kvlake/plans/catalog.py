@@ -460,12 +460,13 @@ def latency_histogram(spark, d):
     return H.buckets(table(spark, d, "events"), "value")
 
 
-@query("""SELECT event_type, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS deviation, min(value) AS least, max(value) AS most FROM events GROUP BY event_type""")
+@query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, min(value) AS least, max(value) AS most FROM events GROUP BY event_type""")
 def latency_summary(spark, d):
-    return H.summary(table(spark, d, "events"), "value", ["event_type"]).drop("p50", "p95", "p99")
+    out = H.summary(table(spark, d, "events"), "value", ["event_type"]).drop("p50", "p95", "p99")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
 
 
-@query("""SELECT event_type, p, least(greatest(CASE WHEN min(bucket) = 0 THEN 1.0 ELSE pow(2.0, min(bucket) / 4.0) END, any_value(lo)), any_value(hi)) AS latency FROM
+@query("""SELECT event_type, CAST(p AS BIGINT) AS p, least(greatest(CASE WHEN min(bucket) = 0 THEN 1.0 ELSE pow(2.0, min(bucket) / 4.0) END, any_value(lo)), any_value(hi)) AS latency FROM
  (SELECT event_type, bucket, lo, hi, n, sum(c) OVER (PARTITION BY event_type ORDER BY bucket) AS upto FROM
   (SELECT event_type, CASE WHEN value <= 1 THEN 0 ELSE least(127, CAST(ceil(log2(value) * 4) AS BIGINT)) END AS bucket, count(*) AS c,
    min(min(value)) OVER (PARTITION BY event_type) AS lo, max(max(value)) OVER (PARTITION BY event_type) AS hi, sum(count(*)) OVER (PARTITION BY event_type) AS n
@@ -475,10 +476,10 @@ def latency_percentiles(spark, d):
     return wide.unpivot(["event_type"], ["p50", "p95", "p99"], "q", "latency").select("event_type", F.substring("q", 2, 2).cast("long").alias("p"), "latency")
 
 
-@query("""SELECT user_id, CAST(sum(length(props)) AS BIGINT) AS bytes, CAST(sum(length(props)) AS DOUBLE) / nullif(sum(value), 0) AS rate FROM events GROUP BY user_id""")
+@query("""SELECT user_id, CAST(sum(length(props)) AS BIGINT) AS bytes, round(CAST(sum(length(props)) AS DOUBLE) / nullif(sum(value), 0), 6) AS rate FROM events GROUP BY user_id""")
 def throughput(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.sum(F.length("props")).alias("bytes"), F.sum("value").alias("t"))
-    return e.select("user_id", "bytes", (F.col("bytes").cast("double") / F.nullif("t", F.lit(0.0))).alias("rate"))
+    return e.select("user_id", "bytes", F.round(F.col("bytes").cast("double") / F.nullif("t", F.lit(0.0)), 6).alias("rate"))
 
 
 _MUL = "((({0}) * 3332679571) & 4294967295)"

@@ -149,3 +149,16 @@ def test_spark_readers(spark, tmp_path):
     assert same(sst.read_tables(spark, str(tmp_path / "tables")))
     with pytest.raises(Exception, match="not a sorted table"):
         sst.read_tables(spark, str(tmp_path / "tables"), paranoid=True).count()
+
+
+def test_data_sources(spark, tmp_path):
+    from kvlake.sources.datasource import register
+
+    register(spark)
+    (tmp_path / "000001.log").write_bytes(log(WriteBatch([(1, b"a", b"1"), (0, b"b", None)], 7).encode()))
+    t = sst.TableBuilder(internal=True)
+    t.add(C.put_internal(b"c", 3, 1), b"3")
+    (tmp_path / "000002.sst").write_bytes(t.finish())
+    rows = lambda kind: [(r.seq, r.kind, bytes(r.key), r.value and bytes(r.value)) for r in spark.read.format(kind).load(str(tmp_path)).collect()]
+    assert rows("kvlake-log") == [(7, 1, b"a", b"1"), (8, 0, b"b", None)]
+    assert rows("kvlake-table") == [(3, 1, b"c", b"3")]

@@ -23,6 +23,7 @@ reserved; all other columns pass through.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -284,14 +285,15 @@ def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     small_batches(spark)
     keep = docs.columns if keep is None else keep
     out = docs.select(*dict.fromkeys([*keep, text_col]))
-    first = True
-    for block in [*_blocks(benchmark, item_id, item_text, block_words)] or [[]]:
+    names = list(dict.fromkeys([*keep, text_col]))
+    fields = [docs.schema[c] for c in names]
+    found = False
+    for block in chain(_blocks(benchmark, item_id, item_text, block_words), [[]]):
+        if found and not block:
+            break
+        found = True
         sent = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        names = list(dict.fromkeys([*keep, text_col]))
-        fields = [docs.schema[c] for c in names]
         out = out.mapInArrow(_matcher(sent, text_col, names), T.StructType([*fields, *FOUND]))
-        first = False
-    assert not first
     return out.select(*keep, *(f.name for f in FOUND))
 
 

@@ -12,12 +12,17 @@ Jaccard or its plain Jaccard similarity is 0.8 or more.
 
 Scale and skew.  Copies are collapsed before anything else: a node is a distinct
 sequence of words.  A band shared by many nodes never gives all pairs: every
-member is compared with one pivot, the smallest node.  Then the classes so far are
-laid over the bands, and members of a band in different classes are compared
-through other pivots, until a round brings no new candidate or ``ROUNDS`` is
-reached; every round is linear in the band rows.  Classes are connected
-components, found by alternating large-star and small-star steps on tables.
-Nothing but counts reaches the driver.
+member is compared with one pivot, the smallest node, and the links so far make
+classes.  Of the nodes in bands that still hold several classes, the shingles that
+no other such node has are counted; they bound the similarity of any two, so texts
+that have a passage in common and the rest to themselves, or edited copies too far
+from each other, part without being compared.  In a band of several classes, members
+of the smallest classes become pivots and are compared with those members of other
+classes that the bound admits; a pivot is then done in that band.  Rounds go on until
+no band has two classes besides its former pivots: then each two members of a band
+are in one class, have been compared or are too far apart by the bound, and no link
+is lost.  Classes are connected components, found by alternating large-star and
+small-star steps on tables.  Nothing but counts reaches the driver.
 
 Defined results: words are runs of letters, digits and characters outside ASCII,
 A-Z counting as a-z.  Texts with the same words are copies; texts without words
@@ -34,7 +39,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,9 +48,9 @@ from .store import small_batches, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 32, 5  # 0.8 similar texts miss all bands with probability 5e-8
+BANDS, ROWS = 32, 5  # texts of similarity 0.8 miss all bands with probability 3e-6
 REGISTERS = BANDS * ROWS
-ROUNDS = 4
+PIVOTS = 32  # most pivots that a band has in a round; rounds go on until none is left
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -209,6 +214,40 @@ def _verifier(threshold: float):
     return run
 
 
+def _exploder(batches):
+    """(node, shingle, number of shingles of the node, share of its weight)."""
+    for batch in batches:
+        nodes, keys, counts = (batch.column(batch.schema.get_field_index(c)) for c in ("_kv_node", "_kv_keys", "_kv_counts"))
+        for k in range(batch.num_rows):
+            key, w = np.frombuffer(keys[k].as_buffer(), "<i8"), weights(np.frombuffer(counts[k].as_buffer(), "<u4"))
+            n, share = len(key), w / w.sum()
+            for a in range(0, n, 65_536):
+                m = min(n, a + 65_536) - a
+                cols = [pa.array([nodes[k].as_py()] * m, pa.binary()), pa.array(key[a : a + m]), pa.array(np.full(m, n)), pa.array(share[a : a + m])]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "shingle", "n", "share"])
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, n, own, own_share) of the nodes with a shingle that no other node of
+    ``sets`` has: number of shingles, number of own ones, and their share of the weight."""
+    every = sets.mapInArrow(_exploder, "node binary, shingle long, n long, share double")
+    alone = every.groupBy("shingle").agg(F.count("*").alias("held"), *(F.min(c).alias(c) for c in ("node", "n", "share"))).where("held = 1")
+    return alone.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("own"), F.sum("share").alias("own_share"))
+
+
+def may_link(a: str, b: str, threshold: float):
+    """Whether two nodes can be similar, from ``n``, ``own`` and ``own_share`` of either.
+
+    The shared shingles are at most those that neither has alone, which bounds the
+    plain Jaccard similarity.  The terms of the probability Jaccard are at most
+    xy / (y + vx) for shares x and y of a shared shingle and own shares u and v; that
+    is concave and homogeneous, so their sum is at most its value at 1 - u and 1 - v.
+    """
+    n, m, u, v = (F.col(f"{x}.{c}") for c in ("n", "own_share") for x in (a, b))
+    shared = F.least(n - F.col(f"{a}.own"), m - F.col(f"{b}.own"))
+    return (shared >= (threshold - 1e-6) * (n + m - shared)) | ((1 - u) * (1 - v) >= (threshold - 1e-6) * (1 - u * v))
+
+
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) of the nodes of undirected links (a, b), the root being the
     smallest node of the component.  Alternates large-star and small-star steps,
@@ -236,7 +275,7 @@ def _text_key(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Members (id, text key, node) and the class of each node (node, class_id,
     class_size, n_texts, keep: the text key and whether it is the kept node)."""
     small_batches(docs.sparkSession)
@@ -262,19 +301,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     tested = verified(member.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     roots = components(tested.where("link"))
-    for k in range(1, rounds):
-        at = member.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        # another pivot in every band that still holds two classes or more
-        pick = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("node"), F.col("root").alias("root"))
-        mixed = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(pick).alias("p")).where("lo <> hi")
-        pairs = at.join(mixed, "band").where("root <> p.root").select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct()
-        pairs = written(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        new = verified(pairs)
+
+    def in_classes(rows: DataFrame) -> DataFrame:
+        """The rows of bands with two classes or more, with the class of the node and how
+        many rows of the band it has."""
+        at = rows.drop("root", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = at.groupBy("band", "root").agg(F.count("*").alias("size"))
+        mixed = sizes.groupBy("band").agg(F.count("*").alias("classes")).where("classes > 1").select("band")
+        return written(at.join(sizes.join(mixed, "band", "left_semi"), ["band", "root"]))
+
+    live = in_classes(member.where("node <> pivot").select("band", "node"))
+    own = own_shingles(sets.join(live.select(F.col("node").alias("_kv_node")).distinct(), "_kv_node", "left_semi"))
+    total = sets.select(F.col("_kv_node").alias("node"), (F.length("_kv_keys") / 8).cast("long").alias("all"))
+    own = own.join(total, "node", "right").select("node", F.col("all").alias("n"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("own_share", F.lit(0.0)).alias("own_share"))
+    # a node with too much of its own is similar to none
+    near = own.where((F.col("own") <= (1 - threshold + 1e-6) * F.col("n")) | (F.col("own_share") <= 1 - threshold + 1e-6))
+    live, pivots = in_classes(live.join(near.withColumn("m", F.struct("n", "own", "own_share")).select("node", "m"), "node")), 1
+    while not live.isEmpty():
+        order = Window.partitionBy("band").orderBy("size", F.xxhash64("root"), F.xxhash64("node"), "node")
+        chosen = live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
+        chosen = written(chosen.select("band", F.col("node").alias("pivot"), F.col("root").alias("own"), F.col("m").alias("p")))
+        pairs = live.join(chosen, "band").where((F.col("root") != F.col("own")) & may_link("m", "p", threshold))
+        pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        new = verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         tested = tested.unionByName(new)
         if not new.where("link").isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new.where("link").select("a", "b")))
+        done = chosen.select("band", F.col("pivot").alias("node"))
+        live, pivots = in_classes(live.join(done, ["band", "node"], "left_anti")), min(PIVOTS, 2 * pivots)
 
     members = rows.select(F.col(id_col), "_kv_text", "_kv_node")
     first = F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.col("_kv_text").alias("text"))))

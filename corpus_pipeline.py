@@ -1,7 +1,7 @@
 """A corpus pipeline: five stages over ``documents``, each on what the one before kept.
 
 1. quality rules: documents that the rules or the isolation forest reject go;
-2. line dedup: repeated chunks of lines go, and documents without a word left;
+2. line dedup: repeated chunks of lines and passages of 50 words go, and documents without a word left;
 3. MinHash near-dedup: one document of each class stays;
 4. benchmark decontamination: benchmark passages are cut out, and documents of which
    they are a twentieth or more go;
@@ -36,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_chunks.dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return _counted(line_chunks.dedup_lines(docs, passages=True).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

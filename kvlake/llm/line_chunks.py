@@ -1,4 +1,4 @@
-"""Line de-duplication by content-defined chunks of lines.
+"""Line de-duplication by content-defined chunks of lines and by runs of 50 words.
 
 Every line is hashed, and a rolling hash over the last two line hashes chooses
 where a chunk of lines ends, so an insertion above a passage moves no boundary
@@ -9,6 +9,14 @@ same one, are removed except for their first occurrence (smallest document id,
 then place).  Equal hashes (128 bits) only propose; the bytes of all occurrences
 are compared, and where any differ, nothing of that hash is removed.
 
+The cuts depend on neighbouring lines, so chunks alone (``passages=False``) leave most
+short passages in place.  With ``passages`` every shortest run of lines that reaches
+``LONG_WORDS`` words, forwards from each line with words and backwards from each, is
+proposed and compared too.  These runs cover every line with words of every passage of
+that many words, whatever stands around it, so all later copies go, line by line.  A run
+that overlaps its own first occurrence stays; lines without words between two removed
+lines go with them.
+
 Scale: the first pass shuffles hashes alone; per-hash counts and first places are
 added up before the shuffle, so a chunk that a third of all documents share is one
 row for each task.  The texts move twice, once to be compared and once to be
@@ -55,9 +63,25 @@ def _cut(roll: list[int], long: list[bool]) -> list[tuple[int, int]]:
     return out
 
 
-def chunk_texts(column: pa.Array):
-    """Of each text: its bytes, line starts and ends, and its chunks as (first line,
-    last line + 1, whether it may be removed)."""
+def _runs(words: list[int]) -> set[tuple[int, int]]:
+    """Runs of lines (first, last + 1) that reach LONG_WORDS words and would not without
+    their first line, or without their last; both of these have words."""
+    at = [k for k, w in enumerate(words) if w]
+    out: set[tuple[int, int]] = set()
+    for step in (1, -1):
+        order, total, x = at[::step], 0, 0
+        for k in order:
+            total += words[k]
+            while total - words[order[x]] >= LONG_WORDS:
+                total -= words[order[x]]
+                x += 1
+            if total >= LONG_WORDS:
+                out.add((min(order[x], k), max(order[x], k) + 1))
+    return out
+
+
+def _scan(column: pa.Array):
+    """Of each text: its bytes, line starts and ends, words of each line and chunks."""
     data, off = as_bytes(column)
     for a, b in slices(off):
         o = off[a : b + 1] - off[a]
@@ -87,80 +111,121 @@ def chunk_texts(column: pa.Array):
             for p, q in _cut(roll[x:y], long[x:y]):
                 w = words[x + p : x + q]
                 chunks.append((p, q, sum(v > 0 for v in w) >= MIN_LINES or w[0] >= LONG_WORDS))
-            yield raw, starts[x:y], ends[x:y], chunks
+            yield raw, starts[x:y], ends[x:y], words[x:y], chunks
+
+
+def chunk_texts(column: pa.Array):
+    """Of each text: its bytes, line starts and ends, and its chunks as (first line,
+    last line + 1, whether it may be removed)."""
+    for raw, start, end, _, chunks in _scan(column):
+        yield raw, start, end, chunks
+
+
+def span_texts(column: pa.Array, passages: bool):
+    """Of each text: its bytes, line starts and ends, words of each line, and the spans of
+    lines (first, last + 1) that are removed where they repeat."""
+    for raw, start, end, words, chunks in _scan(column):
+        spans = {(p, q) for p, q, may in chunks if may}
+        yield raw, start, end, words, sorted(spans | _runs(words) if passages else spans)
 
 
 def _key(id_col: str, text_col: str):
     return F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col(id_col).cast("string"), F.lit("\x02")), F.coalesce(F.col(text_col), F.lit("\x02")))))
 
 
-CHUNK = T.StructType([T.StructField("_kv_chunk", T.IntegerType()), T.StructField("_kv_hash", T.BinaryType())])
+SPAN = T.StructType([T.StructField("_kv_from", T.IntegerType()), T.StructField("_kv_to", T.IntegerType()), T.StructField("_kv_hash", T.BinaryType())])
+SENT_BYTES = 8 << 20  # spans of a text overlap: their bytes leave in batches of about this size
 
 
-def _proposer(text_col: str, names: list[str]):
+def _proposer(text_col: str, names: list[str], passages: bool):
     def run(batches):
         for batch in batches:
-            row, number, digest = [], [], []
-            for k, (raw, start, end, chunks) in enumerate(chunk_texts(batch.column(batch.schema.get_field_index(text_col)))):
-                for n, (p, q, may) in enumerate(chunks):
-                    if may:
-                        row.append(k)
-                        number.append(n)
-                        digest.append(xxhash.xxh3_128_digest(raw[start[p] : end[q - 1]]))
-            cols = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row, pa.int64())) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(number, pa.int32()), pa.array(digest, pa.binary())], names=[*names, "_kv_chunk", "_kv_hash"])
+            row, first, last, digest = [], [], [], []
+
+            def out():
+                cols = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row, pa.int64())) for c in names]  # noqa: B023
+                arrays = [*cols, pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(digest, pa.binary())]  # noqa: B023
+                return pa.RecordBatch.from_arrays(arrays, names=[*names, "_kv_from", "_kv_to", "_kv_hash"])
+
+            for k, (raw, start, end, _, spans) in enumerate(span_texts(batch.column(batch.schema.get_field_index(text_col)), passages)):
+                for p, q in spans:
+                    row.append(k)
+                    first.append(p)
+                    last.append(q)
+                    digest.append(xxhash.xxh3_128_digest(raw[start[p] : end[q - 1]]))
+                    if len(row) >= SENT_BYTES >> 7:
+                        yield out()
+                        row, first, last, digest = [], [], [], []
+            yield out()
 
     return run
 
 
 def _teller(text_col: str):
-    """(hash, bytes) of the chunks that are listed in ``_kv_list``."""
+    """(hash, bytes) of the spans that are listed in ``_kv_list``."""
 
     def run(batches):
         for batch in batches:
-            digest, content = [], []
-            listed = batch.column(batch.schema.get_field_index("_kv_list")).to_pylist()
-            for (raw, start, end, chunks), own in zip(chunk_texts(batch.column(batch.schema.get_field_index(text_col))), listed):
-                for x in own:
-                    p, q, _ = chunks[x["chunk"]]
+            digest, content, held = [], [], 0
+            out = lambda: pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(content, pa.binary())], names=["hash", "content"])  # noqa: E731,B023
+            listed = batch.column(batch.schema.get_field_index("_kv_list"))
+            for k, (raw, start, end, _, _) in enumerate(_scan(batch.column(batch.schema.get_field_index(text_col)))):
+                for x in listed[k].as_py():
                     digest.append(x["hash"])
-                    content.append(raw[start[p] : end[q - 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(content, pa.binary())], names=["hash", "content"])
+                    content.append(raw[start[x["from"]] : end[x["to"] - 1]])
+                    held += len(content[-1])
+                    if held >= SENT_BYTES:
+                        yield out()
+                        digest, content, held = [], [], 0
+            yield out()
 
     return run
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``_kv_key``, ``_kv_drop``): of each document that loses any, the numbers of the
-    chunks that it loses."""
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
+    """(``_kv_key``, ``_kv_drop``): of each document that loses any, the spans of lines
+    that it loses."""
     small_batches(docs.sparkSession)
     slim = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).withColumn("_kv_key", _key(id_col, text_col))
-    kind = T.StructType([docs.schema[id_col], T.StructField("_kv_key", T.BinaryType()), *CHUNK])
-    chunks = written(slim.mapInArrow(_proposer(text_col, [id_col, "_kv_key"]), kind))
-    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_kv_key").alias("key"), F.col("_kv_chunk").alias("chunk"))
-    again = chunks.groupBy("_kv_hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = chunks.join(again, "_kv_hash").select("_kv_key", "_kv_chunk", "_kv_hash", ((F.col("_kv_key") == F.col("first.key")) & (F.col("_kv_chunk") == F.col("first.chunk"))).alias("_kv_first")).distinct()
+    kind = T.StructType([docs.schema[id_col], T.StructField("_kv_key", T.BinaryType()), *SPAN])
+    spans = written(slim.mapInArrow(_proposer(text_col, [id_col, "_kv_key"], passages), kind))
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_kv_key").alias("key"), F.col("_kv_from").alias("from"), F.col("_kv_to").alias("to"))
+    again = spans.groupBy("_kv_hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # the first occurrence stays, and so does what overlaps it
+    stays = (F.col("_kv_key") == F.col("first.key")) & (F.col("_kv_from") < F.col("first.to"))
+    found = spans.join(again, "_kv_hash").select("_kv_key", "_kv_from", "_kv_to", "_kv_hash", stays.alias("_kv_first")).distinct()
     found = written(found)
 
-    own = found.groupBy("_kv_key").agg(F.collect_list(F.struct(F.col("_kv_chunk").alias("chunk"), F.col("_kv_hash").alias("hash"))).alias("_kv_list"))
+    own = found.groupBy("_kv_key").agg(F.collect_list(F.struct(F.col("_kv_from").alias("from"), F.col("_kv_to").alias("to"), F.col("_kv_hash").alias("hash"))).alias("_kv_list"))
     told = slim.select("_kv_key", text_col).join(own.hint("merge"), "_kv_key").select(text_col, "_kv_list").mapInArrow(_teller(text_col), "hash binary, content binary")
     unlike = told.groupBy("hash").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi")
     gone = found.where("not _kv_first").join(written(unlike.select("hash")), F.col("_kv_hash") == F.col("hash"), "left_anti")
-    return written(gone.groupBy("_kv_key").agg(F.collect_list("_kv_chunk").alias("_kv_drop")))
+    return written(gone.groupBy("_kv_key").agg(F.collect_list(F.struct(F.col("_kv_from").alias("from"), F.col("_kv_to").alias("to"))).alias("_kv_drop")))
+
+
+def _lost(words: list[int], drop: list[dict], passages: bool) -> list[tuple[int, int]]:
+    """Ranges of removed lines, in order and apart."""
+    out: list[list[int]] = []
+    for p, q in sorted((x["from"], x["to"]) for x in drop):
+        if out and (p <= out[-1][1] or passages and not any(words[out[-1][1] : p])):
+            out[-1][1] = max(q, out[-1][1])
+        else:
+            out.append([p, q])
+    return [(p, q) for p, q in out]
 
 
-def _rewriter(text_col: str, names: list[str]):
+def _rewriter(text_col: str, names: list[str], passages: bool):
     def run(batches):
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(text_col))
             texts, gone = [], []
             drops = batch.column(batch.schema.get_field_index("_kv_drop")).to_pylist()
-            for k, ((raw, start, end, chunks), drop) in enumerate(zip(chunk_texts(col), drops)):
-                out = set(drop or ())
-                gone.append([{"start": p, "end": q} for n, (p, q, _) in enumerate(chunks) if n in out])
-                if out:
-                    kept = [raw[start[x] : end[x]] for n, (p, q, _) in enumerate(chunks) if n not in out for x in range(p, q)]
-                    texts.append(b"\n".join(kept).decode())
+            for k, ((raw, start, end, words, _), drop) in enumerate(zip(_scan(col), drops)):
+                lost = _lost(words, drop or [], passages)
+                gone.append([{"start": p, "end": q} for p, q in lost])
+                if lost:
+                    out = {x for p, q in lost for x in range(p, q)}
+                    texts.append(b"\n".join(raw[start[x] : end[x]] for x in range(len(start)) if x not in out).decode())
                 else:
                     texts.append(col[k].as_py())
             cols = [pa.array(texts, col.type) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names]
@@ -173,24 +238,24 @@ def _rewriter(text_col: str, names: list[str]):
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without repeated chunks, and ``_kv_gone``: the removed lines as
+def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
+    """The documents without repeated chunks (with ``passages`` also without repeated passages), and ``_kv_gone``: the removed lines as
     (first, last + 1), counted from 0 in the old text."""
-    drop = repeated(docs, id_col, text_col)
+    drop = repeated(docs, id_col, text_col, passages)
     names = list(docs.columns)
     both = docs.withColumn("_kv_key", _key(id_col, text_col)).join(drop.hint("merge"), "_kv_key", "left").select(*names, "_kv_drop")
-    return both.mapInArrow(_rewriter(text_col, names), T.StructType([*docs.schema.fields, T.StructField("_kv_gone", SPANS)]))
+    return both.mapInArrow(_rewriter(text_col, names, passages), T.StructType([*docs.schema.fields, T.StructField("_kv_gone", SPANS)]))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without repeated chunks, with the columns of ``docs``."""
-    return rewritten(docs, id_col, text_col).select(*docs.columns)
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
+    """The documents without repeated chunks (with ``passages`` also without repeated passages), with the columns of ``docs``."""
+    return rewritten(docs, id_col, text_col, passages).select(*docs.columns)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
     """One row per document: id, lines before, lines removed, the removed ranges, and
     the digest of what is left."""
-    out = rewritten(docs.select(id_col, text_col, F.regexp_count(text_col, F.lit("\n")).alias("_kv_feeds")), id_col, text_col)
+    out = rewritten(docs.select(id_col, text_col, F.regexp_count(text_col, F.lit("\n")).alias("_kv_feeds")), id_col, text_col, passages)
     removed = F.aggregate("_kv_gone", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select(
         id_col,

@@ -37,7 +37,7 @@ def op6_token_matrix(spark, sf_dir):
 
 
 def op7_line_chunks(spark, sf_dir):
-    return line_chunks.report(table(spark, sf_dir, "documents"))
+    return line_chunks.report(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op8_probminhash(spark, sf_dir):

@@ -39,7 +39,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:gh[pousr]|sk|xox[abp])[_-][A-Za-z0-9]{20,64})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|token|secret|api[_-]?key)(?: ?[=:] ?)[\"']?[A-Za-z0-9+/_-]{12,128}(?![A-Za-z0-9+/_-])", re.ASCII)
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:gh[pousr]|sk|xox[abp])[_-][A-Za-z0-9]{20,64})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key)(?: ?[=:] ?)[\"']?[A-Za-z0-9+/_-]{12,128}(?![A-Za-z0-9+/_-])", re.ASCII)
 _ANY_DIGIT = re.compile(r"[0-9]")
 
 _PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "secret": 0.7}
@@ -133,11 +133,12 @@ def find_pii(text: str | None) -> list[tuple[str, int, int, float]]:
         if "+" in text:
             found += [("phone", *s) for s in phones(text)]
     out = [(k, s, e, score(k, text, s, e)) for k, s, e in found]
+    own: list[tuple[str, int, int]] = []
     if digit:
-        own = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m.group())]
+        own += [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m.group())]
         own += [("ssn", *m.span()) for m in _SSN.finditer(text) if _plausible_ssn(m.group())]
-        own += [("secret", *m.span()) for m in _SECRET.finditer(text)]
-        out += [(k, s, e, v) for k, s, e in own if (v := score(k, text, s, e)) >= MIN_SCORE]
+    own += [("secret", *m.span()) for m in _SECRET.finditer(text)]  # needs no digit
+    out += [(k, s, e, v) for k, s, e in own if (v := score(k, text, s, e)) >= MIN_SCORE]
     return out
 
 

@@ -5,8 +5,10 @@ weighing 1 + ln n.  Each shingle sends points of a Poisson process whose rate is
 its weight; every point goes to one of ``REGISTERS`` registers, and a register keeps
 the shingle of its earliest point.  Processes stop early, as soon as their next
 point would come later than every register's present one.  Two texts share a
-register with a probability equal to their probability Jaccard similarity.  The
-registers form ``BANDS`` bands; texts that share a band are candidates, and each
+register with a probability equal to their probability Jaccard similarity.  A text
+with repeated shingles has a second set of registers, all weights being 1, which two
+texts share with a probability equal to their plain Jaccard similarity (without
+repetition the first set is that).  The registers of a set form ``BANDS`` bands; texts that share a band are candidates, and each
 candidate is verified on the full shingle sets: it is a link if its probability
 Jaccard or its plain Jaccard similarity is 0.8 or more.
 
@@ -48,7 +50,7 @@ from .store import small_batches, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 32, 5  # texts of similarity 0.8 miss all bands with probability 3e-6
+BANDS, ROWS = 32, 5  # texts of either similarity 0.8 miss all bands with probability 3e-6
 REGISTERS = BANDS * ROWS
 PIVOTS = 32  # most pivots that a band has in a round; rounds go on until none is left
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -129,6 +131,19 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
     return h
 
 
+def all_bands(n: int, doc: np.ndarray, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bands of n texts, (n, 2 * BANDS), and which of them count: the weighted ones, and
+    of texts with repeated shingles also the plain ones that differ from these."""
+    bands, there = np.zeros((n, 2 * BANDS), np.uint64), np.zeros((n, 2 * BANDS), bool)
+    bands[:, :BANDS] = band_hashes(prob_min_hash(n, doc, key, weights(count)))
+    there[np.unique(doc), :BANDS] = True
+    again = np.unique(doc[count > 1])
+    of = np.isin(doc, again)
+    plain = band_hashes(prob_min_hash(len(again), np.searchsorted(again, doc[of]), key[of], np.ones(int(of.sum()))))
+    bands[again, BANDS:], there[again, BANDS:] = plain, plain != bands[again, :BANDS]
+    return bands, there
+
+
 def _by_text(column: pa.Array):
     """Of each slice: the range of texts, its tokens and their hashes, and its ids."""
     data, off = as_bytes(column)
@@ -154,11 +169,10 @@ def _sketcher(text_col: str, names: list[str]):
         for batch in batches:
             for a, b, t, h, ids in _by_text(batch.column(batch.schema.get_field_index(text_col))):
                 doc, key, count = shingles(t, h)
-                bands = band_hashes(prob_min_hash(b - a, doc, key, weights(count)))
-                some = t.counts() >= SHINGLE
-                flat = pa.array(bands[some].astype(np.int64).ravel())
+                bands, there = all_bands(b - a, doc, key, count)
+                flat = pa.array(bands[there].astype(np.int64))
                 at = np.zeros(b - a + 1, np.int32)
-                np.cumsum(np.where(some, BANDS, 0), out=at[1:])
+                np.cumsum(there.sum(axis=1), out=at[1:])
                 cols = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, _binary(ids), pa.ListArray.from_arrays(pa.array(at), flat)], names=[*names, "_kv_node", "_kv_bands"])
 

@@ -155,3 +155,15 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = dict(zip((i for i, _ in rows), brute(rows)))
     assert {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()} == want
+
+
+def test_plain_links_beside_repetition(spark):
+    """Pairs of plain Jaccard over 0.8 whose other shingles are repeated: every one is found."""
+    rows = []
+    for k in range(80):
+        shared = " ".join(f"s{k}x{j}" for j in range(104))
+        rows += [(2 * k + x, shared + f" {y}{k}a {y}{k}b {y}{k}c {y}{k}d {y}{k}e" * 400) for x, y in enumerate("pq")]
+    plain, prob = jaccards(shingles(words(rows[0][1])), shingles(words(rows[1][1])))
+    assert plain > 0.82 and prob < 0.65
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}

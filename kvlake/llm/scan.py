@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 4 << 20  # texts are scanned in slices of about this many bytes
 _TABLES: dict = {}
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -55,32 +57,13 @@ def word_table(kind: str) -> np.ndarray:
     return _TABLES[kind]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**j and B**-j modulo 2**64 for an odd B, for j < n."""
-    have = _TABLES.get("powers")
-    if have is None or len(have[0]) < n:
-        out = []
-        b = 0x9E3779B97F4A7C15
-        for base in (b, pow(b, -1, 1 << 64)):
-            p = np.ones(1, np.uint64)
-            step = base
-            with np.errstate(over="ignore"):
-                while len(p) < n:
-                    p = np.concatenate([p, p * np.uint64(step)])
-                    step = step * step % (1 << 64)
-            out.append(p)
-        _TABLES["powers"] = have = tuple(out)
-    return have[0][:n], have[1][:n]
-
-
-def _byte_values(fold: bool) -> np.ndarray:
-    key = ("values", fold)
-    if key not in _TABLES:
-        v = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-        if fold:
-            v[65:91] = v[97:123]
-        _TABLES[key] = v
-    return _TABLES[key]
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    if "fold" not in _TABLES:
+        t = np.arange(256, dtype=np.uint8)
+        t[65:91] = t[97:123]
+        _TABLES["fold"] = t
+    return _TABLES["fold"][data]
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +122,29 @@ class Tokens:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
-    """Polynomial hash of each span, from differences of one running sum."""
+    """64-bit hash of the bytes of each span.
+
+    The up to 16 bytes of a short span are taken as two whole numbers, which are
+    mixed; longer ones go through xxh3.
+    """
     if len(start) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
+    if "mask" not in _TABLES:
+        _TABLES["mask"] = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+    mask, n = _TABLES["mask"], len(data)
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = folded(data) if fold else data
+    eight = np.ndarray(n + 9, "<u8", padded, strides=(1,))  # the eight bytes that begin at each byte
+    size = end - start
+    low = eight[start] & mask[np.minimum(size, 8)]
+    high = eight[np.minimum(start + 8, n)] & mask[np.clip(size - 8, 0, 8)]
     with np.errstate(over="ignore"):
-        np.cumsum(_byte_values(fold)[data] * up[:-1], out=total[1:])
-        return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        h = mix64(mix64(low ^ np.uint64(0x8EBC6AF09C88C6E3)) + mix64(high ^ np.uint64(0x589965CC75374CC3)) * _ODD + size.astype(np.uint64))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        raw = memoryview(padded)
+        h[long] = [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(start[long].tolist(), end[long].tolist())]
+    return h
 
 
 def windows(tokens: Tokens, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +154,9 @@ def windows(tokens: Tokens, hashes: np.ndarray, width: int) -> tuple[np.ndarray,
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     inside = tokens.doc[:m] == tokens.doc[width - 1 :]
     with np.errstate(over="ignore"):
-        h = hashes[:m] * np.uint64(0x9E3779B97F4A7C15)
+        h = hashes[:m] * _ODD
         for j in range(1, width):
-            h = (h + hashes[j : m + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h + hashes[j : m + j]) * _ODD
     at = np.flatnonzero(inside)
     return at, mix64(h[at])
 

@@ -13,18 +13,16 @@ candidate is verified on the full shingle sets: it is a link if its probability
 Jaccard or its plain Jaccard similarity is 0.8 or more.
 
 Scale and skew.  Copies are collapsed before anything else: a node is a distinct
-sequence of words.  A band shared by many nodes never gives all pairs: every
-member is compared with one pivot, the smallest node, and the links so far make
-classes.  Of the nodes in bands that still hold several classes, the shingles that
-no other such node has are counted; they bound the similarity of any two, so texts
-that have a passage in common and the rest to themselves, or edited copies too far
-from each other, part without being compared.  In a band of several classes, members
-of the smallest classes become pivots and are compared with those members of other
-classes that the bound admits; a pivot is then done in that band.  Rounds go on until
-no band has two classes besides its former pivots: then each two members of a band
-are in one class, have been compared or are too far apart by the bound, and no link
-is lost.  Classes are connected components, found by alternating large-star and
-small-star steps on tables.  Nothing but counts reaches the driver.
+sequence of words.  A band shared by many nodes never gives all pairs.  Its pivot is
+the member that shares most bands with others, so mostly the text that the others
+were edited from; every member is compared with the pivot, and the links so far make
+classes.  All bands of one pivot are one group, which is looked through once more for
+links between different classes, by the differences of its members from the pivot
+(``_crossing``): texts that differ from it in other places part without being
+compared, and no link is lost.  The work is in proportion to the members and their
+differences, whatever share of the documents a group has.  Classes are connected
+components, found by alternating large-star and small-star steps on tables.  Nothing
+but counts reaches the driver.
 
 Defined results: words are runs of letters, digits and characters outside ASCII,
 A-Z counting as a-z.  Texts with the same words are copies; texts without words
@@ -32,7 +30,8 @@ are copies if their bytes are equal, null counting as empty; a text of fewer tha
 five words only has copies.  The class id is the smallest document id of the class,
 null if all are null; repeated rows are members of one class; an empty table gives
 an empty result.  Other columns are not read.  Names beginning with ``_kv_`` are
-reserved.
+reserved.  A text is held whole by the task that reads it, at some 60 bytes for each
+of its words.
 """
 
 from __future__ import annotations
@@ -45,30 +44,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scan import Tokens, as_bytes, mix64, slices, windows
-from .store import small_batches, written
+from .scan import Tokens, as_bytes, folded, mix64, slices, windows, word_table
+from .store import released, small_batches, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5  # texts of either similarity 0.8 miss all bands with probability 3e-6
 REGISTERS = BANDS * ROWS
-PIVOTS = 32  # most pivots that a band has in a round; rounds go on until none is left
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _sum_by_doc(t: Tokens, values: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(values, out=total[1:])
-        return total[t.first[1:]] - total[t.first[:-1]]
-
-
-def sequence_ids(t: Tokens, h: np.ndarray) -> np.ndarray:
-    """128 bits of each text's sequence of words, as an (n, 2) array."""
-    pos = (np.arange(len(h)) - t.first[t.doc] + 1).astype(np.uint64) if len(h) else np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        out = [mix64(_sum_by_doc(t, mix64(h ^ mix64(pos * np.uint64(c)))) + t.counts().astype(np.uint64)) for c in (0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
-    return np.column_stack(out)
+def sequence_ids(t: Tokens) -> np.ndarray:
+    """128 bits of each text's sequence of words, as an (n, 2) array: the BLAKE2 digest
+    of its words with a space between; of its bytes where it has no word."""
+    raw = folded(t.data)
+    keep = word_table("alnum")[raw] != 0
+    inner = t.end[t.end < t.offsets[t.doc + 1]]  # each word's end, but for those that end a text
+    raw[inner], keep[inner] = 32, True
+    at = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(keep, out=at[1:])
+    some = memoryview(np.ascontiguousarray(raw[keep]))
+    whole = memoryview(np.ascontiguousarray(t.data))
+    out = np.zeros((t.n, 2), np.uint64)
+    edges, offsets = at[t.offsets].tolist(), t.offsets.tolist()
+    for k, n in enumerate(t.counts().tolist()):
+        if n:
+            x, y = edges[k], edges[k + 1]
+            digest = hashlib.blake2b(some[x : y - (some[y - 1] == 32)], digest_size=16)
+        else:
+            digest = hashlib.blake2b(whole[offsets[k] : offsets[k + 1]], digest_size=16, person=b"without words")
+        out[k] = np.frombuffer(digest.digest(), np.uint64)
+    return out
 
 
 def shingles(t: Tokens, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,12 +155,7 @@ def _by_text(column: pa.Array):
     data, off = as_bytes(column)
     for a, b in slices(off):
         t = Tokens(data[off[a] : off[b]], off[a : b + 1] - off[a], "alnum")
-        h = t.hashes(True)
-        ids = sequence_ids(t, h)
-        for k in np.flatnonzero(t.counts() == 0).tolist():  # without words: from the bytes
-            digest = hashlib.blake2b(data[off[a + k] : off[a + k + 1]].tobytes(), digest_size=16).digest()
-            ids[k] = np.frombuffer(digest, np.uint64)
-        yield a, b, t, h, ids
+        yield a, b, t, t.hashes(True), sequence_ids(t)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -187,7 +188,8 @@ def _shingler(text_col: str):
                 at = (np.searchsorted(doc, np.arange(b - a + 1)) * 8).astype(np.int32)
                 keys = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(key.astype("<u8").tobytes())])
                 counts = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at // 2), pa.py_buffer(count.astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([_binary(ids), keys, counts], names=["_kv_node", "_kv_keys", "_kv_counts"])
+                length = np.bincount(doc, 2 * weights(count) - 1, b - a)
+                yield pa.RecordBatch.from_arrays([_binary(ids), keys, counts, pa.array(length)], names=["_kv_node", "_kv_keys", "_kv_counts", "_kv_l"])
 
     return run
 
@@ -214,74 +216,121 @@ def similarities(ka: np.ndarray, ca: np.ndarray, kb: np.ndarray, cb: np.ndarray)
     return plain, float((1.0 / (tail[k] / a + head[k] / b)).sum())
 
 
+def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
+    """Keys and counts of both nodes of a row."""
+    column = lambda c: batch.column(batch.schema.get_field_index(c))
+    return [np.frombuffer(column(c)[k].as_buffer(), "<u8" if c[0] == "k" else "<u4") for c in ("ka", "ca", "kb", "cb")]
+
+
 def _verifier(threshold: float):
+    """Whether a and b are linked, and how many shingles one of them alone has."""
+
     def run(batches):
         for batch in batches:
-            keep = []
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("ka", "ca", "kb", "cb")]
+            keep, apart = [], []
             for k in range(batch.num_rows):
-                ka, ca, kb, cb = (np.frombuffer(c[k].as_buffer(), "<u8" if j % 2 == 0 else "<u4") for j, c in enumerate(cols))
+                ka, ca, kb, cb = _sets(batch, k)
                 keep.append(max(similarities(ka, ca, kb, cb)) >= threshold - 1e-9)
+                apart.append(len(np.setxor1d(ka, kb, assume_unique=True)))
             ab = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")]
-            yield pa.RecordBatch.from_arrays([*ab, pa.array(keep, pa.bool_())], names=["a", "b", "link"])
+            yield pa.RecordBatch.from_arrays([*ab, pa.array(keep, pa.bool_()), pa.array(apart, pa.int64())], names=["a", "b", "link", "apart"])
 
     return run
 
 
-def _exploder(batches):
-    """(node, shingle, number of shingles of the node, share of its weight)."""
+def _differ(batches):
+    """(b, a, shingle): the shingles that one of a and b alone has."""
     for batch in batches:
-        nodes, keys, counts = (batch.column(batch.schema.get_field_index(c)) for c in ("_kv_node", "_kv_keys", "_kv_counts"))
+        a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b"))
         for k in range(batch.num_rows):
-            key, w = np.frombuffer(keys[k].as_buffer(), "<i8"), weights(np.frombuffer(counts[k].as_buffer(), "<u4"))
-            n, share = len(key), w / w.sum()
-            for a in range(0, n, 65_536):
-                m = min(n, a + 65_536) - a
-                cols = [pa.array([nodes[k].as_py()] * m, pa.binary()), pa.array(key[a : a + m]), pa.array(np.full(m, n)), pa.array(share[a : a + m])]
-                yield pa.RecordBatch.from_arrays(cols, names=["node", "shingle", "n", "share"])
-
-
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """(node, n, own, own_share) of the nodes with a shingle that no other node of
-    ``sets`` has: number of shingles, number of own ones, and their share of the weight."""
-    every = sets.mapInArrow(_exploder, "node binary, shingle long, n long, share double")
-    alone = every.groupBy("shingle").agg(F.count("*").alias("held"), *(F.min(c).alias(c) for c in ("node", "n", "share"))).where("held = 1")
-    return alone.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("own"), F.sum("share").alias("own_share"))
-
-
-def may_link(a: str, b: str, threshold: float):
-    """Whether two nodes can be similar, from ``n``, ``own`` and ``own_share`` of either.
-
-    The shared shingles are at most those that neither has alone, which bounds the
-    plain Jaccard similarity.  The terms of the probability Jaccard are at most
-    xy / (y + vx) for shares x and y of a shared shingle and own shares u and v; that
-    is concave and homogeneous, so their sum is at most its value at 1 - u and 1 - v.
+            ka, _, kb, _ = _sets(batch, k)
+            x = np.setxor1d(ka, kb, assume_unique=True).astype(np.int64)
+            for i in range(0, len(x), 65_536):
+                part = pa.array(x[i : i + 65_536])
+                at = pa.array(np.full(len(part), k))
+                yield pa.RecordBatch.from_arrays([b.take(at), a.take(at), part], names=["pivot", "node", "shingle"])
+
+
+def _crossing(group: DataFrame, differ: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes of a group that may be links.
+
+    ``group``: pivot, node, root, and ``z`` = apart - c L.  ``differ``: the shingles
+    that make up a node's difference from its pivot.
+
+    Let d be the difference (a set of shingles) of a node from the pivot, n its number
+    of shingles and W the sum of their weights.  x and y differ in the symmetric
+    difference of their own d.  A link of threshold t has at most c (L(x) + L(y)) in it,
+    with c = (1 - t) / (1 + t) and L = 2 W - n:  the plain similarity needs
+    c (n(x) + n(y)), and n <= L.  The probability Jaccard similarity is at most the
+    share that common shingles have of all, each weighing the larger of its two weights:
+    for the term of a common shingle is its weight x' over the sum of max(x, y x'/y'),
+    which is at least that of max(x, y) where x' >= y', and y'/x' of it otherwise.  As
+    weights are 1 or more, common shingles weigh at most
+    W(x) + W(y) less all that is not common, less their number; c L follows.
+
+    So d(x) and d(y) have o = (z(x) + z(y)) / 2 shingles in common at least.  Those that
+    no other difference of the group has cannot be among them; a node with fewer than
+    its least o others is done.  Of the others, ordered from the rarest on, x and y must
+    share one of the first s - o + 1.  The largest class of a group has many members
+    and every other node is held against it with the least z of that class, and
+    against the other nodes with theirs.  Nodes with an o of 0 or less meet each other.
     """
-    n, m, u, v = (F.col(f"{x}.{c}") for c in ("n", "own_share") for x in (a, b))
-    shared = F.least(n - F.col(f"{a}.own"), m - F.col(f"{b}.own"))
-    return (shared >= (threshold - 1e-6) * (n + m - shared)) | ((1 - u) * (1 - v) >= (threshold - 1e-6) * (1 - u * v))
-
-
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+    sizes = group.groupBy("pivot", "root").agg(F.count("*").alias("n"))
+    largest = written(sizes.groupBy("pivot").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k")).where("k > 1").select("pivot", F.col("m.root").alias("largest")))
+    nodes = written(group.join(largest, "pivot").select("pivot", "node", "root", "z", (F.col("root") == F.col("largest")).alias("big")))
+    used = [largest, nodes]
+    for _ in range(2):  # without those that are done, more shingles are alone
+        rest = differ.join(nodes.select("pivot", "node"), ["pivot", "node"], "left_semi")
+        held = written(rest.groupBy("pivot", "shingle").agg(F.count("*").alias("held")).where("held > 1"))
+        both = written(rest.join(held, ["pivot", "shingle"]))
+        own = both.groupBy("pivot", "node").agg(F.count("*").alias("s"))
+        least = written(nodes.groupBy("pivot").agg(F.min(F.when(F.col("big"), F.col("z"))).alias("in_"), F.min(F.when(~F.col("big"), F.col("z"))).alias("out")))
+        z = F.col("z")
+        across = F.ceil((z + F.when(F.col("big"), F.col("out")).otherwise(F.col("in_"))) / 2 - 1e-6)
+        among = F.when(~F.col("big"), F.ceil((z + F.col("out")) / 2 - 1e-6))
+        nodes = nodes.select("pivot", "node", "root", "z", "big").join(least, "pivot").join(own, ["pivot", "node"], "left")
+        nodes = nodes.select("pivot", "node", "root", "z", "big", F.coalesce("s", F.lit(0)).alias("s"), across.alias("across"), among.alias("among"))
+        nodes = written(nodes.where("s >= across or s >= among"))
+        used += [held, both, least, nodes]
+    order = Window.partitionBy("pivot", "node").orderBy("held", "shingle")
+    rank = both.join(nodes, ["pivot", "node"]).withColumn("rank", F.row_number().over(order))
+    zero = nodes.withColumns({"shingle": F.lit(0).cast("long"), "rank": F.lit(0)})
+    rank = written(rank.select(*zero.columns).unionByName(zero))
+
+    def side(name: str, needed: str, rows: DataFrame):
+        first = F.when(F.col("rank") > 0, F.col("rank") <= F.col("s") - F.greatest(F.col(needed), F.lit(1)) + 1).otherwise(F.col(needed) <= 0)
+        return rows.where(first).select("pivot", "shingle", F.struct("node", "root", "z", "s").alias(name))
+
+    def met(x: DataFrame, y: DataFrame, apart):
+        o = (F.col("x.z") + F.col("y.z")) / 2 - 1e-6
+        may = (o <= F.least("x.s", "y.s")) & ((F.col("shingle") != 0) | (o <= 0))
+        both = x.join(y, ["pivot", "shingle"]).where(apart & may)
+        return both.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+
+    big, small = rank.where("big"), rank.where("not big")
+    pairs = met(side("x", "across", big), side("y", "across", small), F.lit(True))
+    pairs = pairs.unionByName(met(side("x", "among", small), side("y", "among", small), (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))))
+    out = written(pairs.distinct())
+    released(*used, rank)
+    return out
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of the nodes of undirected links (a, b), the root being the
     smallest node of the component.  Alternates large-star and small-star steps,
     each written to the shared folder, until the edges stay as they are.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    for _ in range(most):
+    mark, before = None, None
+    while mark is None or mark != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = written(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        if mark == now:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle")
+        old, edges = edges, written(small.where("u <> v").distinct())
+        released(old)
+        mark, before = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0], mark
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -294,55 +343,51 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     class_size, n_texts, keep: the text key and whether it is the kept node)."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col), F.col(text_col), _text_key(text_col).alias("_kv_text"))
-    kind = T.StructType([docs.schema[id_col], T.StructField("_kv_text", T.BinaryType()), T.StructField("_kv_node", T.BinaryType()), T.StructField("_kv_bands", T.ArrayType(T.LongType()))])
+    binary = lambda *names: [T.StructField(c, T.BinaryType()) for c in names]
+    kind = T.StructType([docs.schema[id_col], *binary("_kv_text", "_kv_node"), T.StructField("_kv_bands", T.ArrayType(T.LongType()))])
     rows = written(slim.mapInArrow(_sketcher(text_col, [id_col, "_kv_text"]), kind))
     # copies collapse here; their bands are equal
-    nodes = rows.groupBy("_kv_node").agg(F.first("_kv_bands").alias("bands"), F.min("_kv_text").alias("text"))
-    bands = written(nodes.select(F.col("_kv_node").alias("node"), "text", F.explode("bands").alias("band")))
-    shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    nodes = rows.groupBy("_kv_node").agg(F.first("_kv_bands").alias("bands"))
+    bands = written(nodes.select(F.col("_kv_node").alias("node"), F.explode("bands").alias("band")))
+    shared = written(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     member = written(bands.join(shared, "band"))  # rows of the bands that two nodes or more share
-
-    needed = member.select("text").distinct()
-    texts = slim.groupBy("_kv_text").agg(F.first(text_col).alias("text_"))
-    texts = texts.join(needed, texts["_kv_text"] == needed["text"], "left_semi").select("text_")
-    kind = T.StructType([T.StructField("_kv_node", T.BinaryType()), T.StructField("_kv_keys", T.BinaryType()), T.StructField("_kv_counts", T.BinaryType())])
-    sets = written(texts.mapInArrow(_shingler("text_"), kind))
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    released(bands, shared)
+    central = member.groupBy("node").agg(F.sum("n").alias("score"))
+    pivot = member.join(central, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("m"))
+    pivot = written(pivot.select("band", F.col("m.node").alias("pivot")))
+    pairs = written(member.join(pivot, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    released(member, pivot)
+
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "_kv_node")
+    needed = written(rows.join(ends, "_kv_node", "left_semi").groupBy("_kv_node").agg(F.min("_kv_text").alias("_kv_text")).select("_kv_text"))
+    texts = slim.join(needed.hint("merge"), "_kv_text", "left_semi").groupBy("_kv_text").agg(F.first(text_col).alias("text_")).select("text_")
+    sets = written(texts.mapInArrow(_shingler("text_"), T.StructType(binary("_kv_node", "_kv_keys", "_kv_counts") + [T.StructField("_kv_l", T.DoubleType())])))
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("_kv_node").alias("a"), F.col("_kv_keys").alias("ka"), F.col("_kv_counts").alias("ca"))
         two = sets.select(F.col("_kv_node").alias("b"), F.col("_kv_keys").alias("kb"), F.col("_kv_counts").alias("cb"))
-        return written(pairs.join(one, "a").join(two, "b").mapInArrow(_verifier(threshold), "a binary, b binary, link boolean"))
+        return pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(with_sets(pairs).mapInArrow(_verifier(threshold), "a binary, b binary, link boolean, apart long"))
 
-    tested = verified(member.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    tested = verified(pairs)
     roots = components(tested.where("link"))
 
-    def in_classes(rows: DataFrame) -> DataFrame:
-        """The rows of bands with two classes or more, with the class of the node and how
-        many rows of the band it has."""
-        at = rows.drop("root", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = at.groupBy("band", "root").agg(F.count("*").alias("size"))
-        mixed = sizes.groupBy("band").agg(F.count("*").alias("classes")).where("classes > 1").select("band")
-        return written(at.join(sizes.join(mixed, "band", "left_semi"), ["band", "root"]))
-
-    live = in_classes(member.where("node <> pivot").select("band", "node"))
-    own = own_shingles(sets.join(live.select(F.col("node").alias("_kv_node")).distinct(), "_kv_node", "left_semi"))
-    total = sets.select(F.col("_kv_node").alias("node"), (F.length("_kv_keys") / 8).cast("long").alias("all"))
-    own = own.join(total, "node", "right").select("node", F.col("all").alias("n"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("own_share", F.lit(0.0)).alias("own_share"))
-    # a node with too much of its own is similar to none
-    near = own.where((F.col("own") <= (1 - threshold + 1e-6) * F.col("n")) | (F.col("own_share") <= 1 - threshold + 1e-6))
-    live, pivots = in_classes(live.join(near.withColumn("m", F.struct("n", "own", "own_share")).select("node", "m"), "node")), 1
-    while not live.isEmpty():
-        order = Window.partitionBy("band").orderBy("size", F.xxhash64("root"), F.xxhash64("node"), "node")
-        chosen = live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
-        chosen = written(chosen.select("band", F.col("node").alias("pivot"), F.col("root").alias("own"), F.col("m").alias("p")))
-        pairs = live.join(chosen, "band").where((F.col("root") != F.col("own")) & may_link("m", "p", threshold))
-        pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        new = verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        tested = tested.unionByName(new)
-        if not new.where("link").isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new.where("link").select("a", "b")))
-        done = chosen.select("band", F.col("pivot").alias("node"))
-        live, pivots = in_classes(live.join(done, ["band", "node"], "left_anti")), min(PIVOTS, 2 * pivots)
+    # groups whose members, without the pivot, are in two classes or more
+    group = tested.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "apart").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = written(group.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot"))
+    share = (1 - threshold) / (1 + threshold)
+    length = sets.select(F.col("_kv_node").alias("node"), F.col("_kv_l").alias("l"))
+    group = written(group.join(mixed, "pivot", "left_semi").join(length, "node").select("pivot", "node", "root", (F.col("apart") - share * F.col("l")).alias("z")))
+    if not group.isEmpty():
+        differ = with_sets(group.select(F.col("node").alias("a"), F.col("pivot").alias("b"))).mapInArrow(_differ, "pivot binary, node binary, shingle long")
+        differ = written(differ)
+        crossing = _crossing(group, differ)
+        more = verified(crossing)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.where("link").select("a", "b")))
+        released(differ, crossing, more)
+    released(pairs, tested, sets, needed, mixed, group)
 
     members = rows.select(F.col(id_col), "_kv_text", "_kv_node")
     first = F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.col("_kv_text").alias("text"))))

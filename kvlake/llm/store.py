@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     one machine) a temporary folder, which is then set as checkpoint folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="kvlake-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -26,7 +28,20 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kvlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kv_path = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no later job reads.  Frames that were
+    derived from one by a transformation are passed over."""
+    for df in tables:
+        path = getattr(df, "_kv_path", None) if isinstance(df, DataFrame) else None
+        if isinstance(path, str):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:

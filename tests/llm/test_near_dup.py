@@ -167,3 +167,87 @@ def test_plain_links_beside_repetition(spark):
     assert plain > 0.82 and prob < 0.65
     got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def linked(rows, similar):
+    """Class ids of rows, ``similar`` giving for each the rows that it is linked with."""
+    up = list(range(len(rows)))
+
+    def top(k):
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in similar(a):
+            x, y = top(a), top(int(b))
+            up[max(x, y)] = min(x, y)
+    return {rows[k][0]: rows[top(k)][0] for k in range(len(rows))}
+
+
+def edited(rnd, base, edits, voc):
+    w = list(base)
+    for _ in range(edits):
+        w[rnd.randrange(len(w))] = rnd.choice(voc)
+    return tuple(w)
+
+
+def test_near_and_apart_in_one_group(spark):
+    """2,000 copies near one text and 2,000 that mostly are too far from it, some of which
+    have each other's edits: as all pairs give."""
+    rnd = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    other = edited(rnd, base, 6, [f"o{k}" for k in range(99)])  # a second text with copies of its own
+    few = [f"x{k}" for k in range(3)]
+    many = [f"y{k}" for k in range(4000)]
+    rows = [edited(rnd, base, rnd.randrange(1, 3), many) for _ in range(2000)]
+    rows += [edited(rnd, base, rnd.randrange(3, 8), rnd.choice((few, many, many))) for _ in range(1800)]
+    rows += [edited(rnd, w, 1, many) for w in rows[-100:]]  # each alike to its own far one alone
+    rows += [edited(rnd, other, rnd.randrange(1, 5), many) for _ in range(100)]
+    rnd.shuffle(rows)
+    rows = [(k, w) for k, w in enumerate(rows)]
+    sets = [set(shingles(w)) for _, w in rows]
+    count = Counter(g for s in sets for g in s)
+    column = {g: k for k, g in enumerate(g for g, n in count.items() if n > 1)}
+    there = np.zeros((len(rows), len(column)), np.float32)
+    for k, s in enumerate(sets):
+        there[k, [column[g] for g in s if g in column]] = 1
+    size = np.array([len(s) for s in sets])
+
+    def similar(a):
+        both = there @ there[a]
+        return np.flatnonzero(both >= 0.8 * (size + size[a] - both) - 1e-6)
+
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()}
+    want = linked(rows, similar)
+    sizes = sorted(Counter(want.values()).values())
+    assert sizes[-1] > 1500 and sizes.count(1) > 500 and sizes.count(2) > 20
+    assert got == want
+
+
+def test_repeated_shingles_in_one_group(spark):
+    """The same with repeated lines, where the two similarities differ."""
+    rnd = random.Random(13)
+    base = [f"w{k}" for k in range(60)] + [f"l{k}" for k in range(8)] * 3
+    rows = [edited(rnd, base, rnd.randrange(1, 6), [f"x{k}" for k in range(20)]) + tuple(f"l{k}" for k in range(8)) * rnd.randrange(4) for _ in range(500)]
+    rows = [(k, w) for k, w in enumerate(rows)]
+    sets = []
+    for _, w in rows:
+        s = sorted((hash(g) & 2**62 - 1, n) for g, n in shingles(w).items())
+        sets.append((np.array([k for k, _ in s], np.uint64), np.array([n for _, n in s], np.uint32)))
+    similar = lambda a: [b for b in range(a) if max(N.similarities(*sets[a], *sets[b])) >= 0.8 - 1e-9]
+    want = linked(rows, similar)
+    assert len(set(want.values())) > 20
+    got = N.near_duplicates(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == want
+
+
+def test_words_with_equal_polynomial_hashes_stay_apart(spark):
+    from tests.llm.test_scan import thue_morse
+
+    x, y = thue_morse(1024)
+    rows = [(0, x), (1, y), (2, f"{x} {x}"), (3, f"{x} {y}")]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3}

@@ -3,6 +3,9 @@
 The nested field paths of a record are sorted and hashed; the hash selects a
 declarative mapping that says where turns, roles and texts lie.  A record whose
 exact fingerprint is unknown takes the most specific mapping whose paths it has.
+A table of one row for each turn is gathered by the mapping of its own columns'
+fingerprint; ``as_records`` writes its conversations as JSON records in the layouts that
+can hold them, which ``canonical_records`` reads back one by one.
 Whatever the layout, the result is a list of canonical turns (role, text), which
 the template writes as ``<|im_start|>role\\ntext<|im_end|>\\n``.
 
@@ -16,7 +19,9 @@ Defined results: a null role or text is empty; turns with equal number are order
 by role, then text; repeated rows are repeated turns; rows with a null
 conversation id form one conversation; a record in no known layout gives no turns
 and a null layout; an empty table gives an empty result.  A conversation is one
-string by definition of the format, so it must fit a task.
+string by definition of the format, so it must fit a task, at some ten times its
+length.  Other columns of a table of turns are not read; those of a table of records
+stay, and a column named ``layout`` or ``turns`` there is replaced.
 """
 
 from __future__ import annotations
@@ -62,6 +67,7 @@ MAPPINGS = (
     Mapping("messages_parts", "messages", "role", "content[].text", roles=ALIASES),
     Mapping("conversations", "conversations", "from", "value", roles=ALIASES),
     Mapping("dialogue", "dialogue", "speaker", "text", roles=ALIASES),
+    Mapping("turns", "turns", "role", "text"),
     Mapping("contents_parts", "contents", "role", "parts[].text", roles=ALIASES),
     Mapping("instruction_input", flat=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("instruction", flat=(("user", ("instruction",)), ("assistant", ("output",)))),
@@ -201,10 +207,47 @@ def canonical_rows(df: DataFrame) -> DataFrame:
     return rows.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
 
+def as_records(turns: DataFrame) -> DataFrame:
+    """(conv_id, record): each conversation as a JSON record, in one of the layouts that
+    hold it without loss, chosen by a hash of its id."""
+    roles = F.transform("turns", lambda t: t["role"])
+    text = lambda k: F.get("turns", F.lit(k))["text"]
+
+    def messages(key: str, role: str, content: str, parts: bool = False):
+        body = lambda t: F.array(F.struct(t["text"].alias("text"))) if parts else t["text"]
+        return F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias(role), body(t).alias(content))).alias(key)))
+
+    def flat(**fields):
+        return F.to_json(F.struct(*(text(k).alias(name) for name, k in fields.items())))
+
+    def one_of(*records):
+        out = records[0]
+        for k, r in enumerate(records[1:], 1):
+            out = F.when(F.pmod(F.xxhash64("conv_id"), F.lit(len(records))) == k, r).otherwise(out)
+        return out
+
+    several = (
+        messages("messages", "role", "content"),
+        messages("messages", "role", "content", parts=True),
+        messages("conversations", "from", "value"),
+        messages("dialogue", "speaker", "text"),
+        messages("contents", "role", "parts", parts=True),
+        messages("turns", "role", "text"),
+    )
+    pair = (flat(instruction=0, response=1), flat(prompt=0, response=1), flat(prompt=0, completion=1), flat(question=0, answer=1))
+    record = (
+        F.when(F.arrays_overlap(roles, F.array(*map(F.lit, ALIASES))), several[-1])  # this layout alone keeps them
+        .when(roles == F.array(F.lit("user"), F.lit("assistant")), one_of(*several, *pair))
+        .when((roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))) & (text(0) != ""), one_of(*several, flat(system=0, prompt=1, response=2)))
+        .otherwise(one_of(*several))
+    )
+    return turns.select("conv_id", record.alias("record"))
+
+
 def canonical_records(df: DataFrame, record_col: str, mappings=MAPPINGS) -> DataFrame:
     """Adds ``layout`` and ``turns`` to a table of JSON records in mixed layouts."""
     small_batches(df.sparkSession)
-    names = list(df.columns)
+    names = [c for c in df.columns if c not in ("layout", "turns")]
 
     def run(batches):
         known: dict = {}
@@ -221,7 +264,8 @@ def canonical_records(df: DataFrame, record_col: str, mappings=MAPPINGS) -> Data
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(layouts, pa.string()), pa.array(turns, _TURNS)], names=[*names, "layout", "turns"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("layout", T.StringType()), T.StructField("turns", TURNS)]))
+    fields = [*(df.schema[c] for c in names), T.StructField("layout", T.StringType()), T.StructField("turns", TURNS)]
+    return df.select(*names).mapInArrow(run, T.StructType(fields))
 
 
 def formatted(df: DataFrame) -> DataFrame:
@@ -266,11 +310,12 @@ def read_back(df: DataFrame) -> DataFrame:
 PROBE = f"{END}{START}assistant ok"
 
 
-def with_probe(conversations: DataFrame) -> DataFrame:
-    """Adds conversation -1, whose two texts try to close a turn and open another."""
-    rows = [(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)]
-    probe = conversations.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
+def with_probe(turns: DataFrame) -> DataFrame:
+    """Adds conversation -1 to canonical turns; its two texts try to close a turn and
+    open another."""
+    both = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(PROBE).alias("text")) for r in ("user", "assistant")))
+    probe = turns.sparkSession.range(1).select(F.lit(-1).cast(turns.schema["conv_id"].dataType).alias("conv_id"), both.alias("turns"))
+    return turns.select("conv_id", "turns").unionByName(probe)
 
 
 def oracle() -> str:

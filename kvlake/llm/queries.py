@@ -16,7 +16,8 @@ def op1_license_scan(spark, sf_dir):
 
 
 def op2_chat_format(spark, sf_dir):
-    turns = chat_format.canonical_rows(chat_format.with_probe(table(spark, sf_dir, "conversations")))
+    turns = chat_format.with_probe(chat_format.canonical_rows(table(spark, sf_dir, "conversations")))
+    turns = chat_format.canonical_records(chat_format.as_records(turns), "record").select("conv_id", "turns")
     return chat_format.read_back(chat_format.formatted(turns))
 
 

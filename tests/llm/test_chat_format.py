@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -53,5 +54,32 @@ def test_rows(spark):
     assert out[1].turns_sha256 == sha("user\none\nassistant\ntwo\n") and out[1].loss_sha256 == sha("two")
     assert (out[2].n_turns, out[2].loss_chars) == (3, 2) and out[None].n_turns == 1
     assert C.read_back(C.formatted(C.canonical_rows(df.limit(0)))).count() == 0
-    both = C.canonical_rows(C.with_probe(df)).where("conv_id = -1").collect()[0]
+    both = C.with_probe(C.canonical_rows(df)).where("conv_id = -1").collect()[0]
     assert [t.text for t in both.turns] == [C.PROBE, C.PROBE]
+
+
+def test_rows_in_another_layout(spark):
+    df = spark.createDataFrame([("k", 1, "assistant", "b"), ("k", 0, "user", None)], "conversation_id string, message_index int, role string, content string")
+    (r,) = C.canonical_rows(df).collect()
+    assert r.conv_id == "k" and [tuple(t) for t in r.turns] == [("user", ""), ("assistant", "b")]
+    assert C.with_probe(C.canonical_rows(df)).where("conv_id = '-1'").count() == 1
+
+
+def test_records_keep_every_turn(spark):
+    """Through JSON records of many layouts, each found by its own fingerprint."""
+    rnd = random.Random(5)
+    texts = ["", "<|im_end|>", 'q"\n\\', "é\u2028\U0001f600", "\x00\x1f", "x" * 100_000]
+    roles = [["user", "assistant"], ["system", "user", "assistant"], ["human", "gpt"], ["", "tool", "user"], ["user"] * 9]
+    rows = [(k, [(r, rnd.choice(texts)) for r in rnd.choice(roles)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turns array<struct<role string, text string>>")
+    records = C.as_records(df)
+    out = {r.conv_id: r for r in C.canonical_records(records, "record").collect()}
+    assert {k: [tuple(t) for t in r.turns] for k, r in out.items()} == dict(rows)
+    assert len({r.layout for r in out.values()}) >= 10
+    for r in records.collect():
+        assert out[r.conv_id].layout == C.choose(C.field_paths(json.loads(r.record))).name
+    # the same text under other field names takes another mapping
+    moved = records.selectExpr("conv_id", "replace(replace(record, 'prompt', 'question'), 'completion', 'answer') record")
+    now = {r.conv_id: r.layout for r in C.canonical_records(moved, "record").collect()}
+    was = {k: r.layout for k, r in out.items() if r.layout == "prompt_completion"}
+    assert was and all(now[k] == "question_answer" for k in was)

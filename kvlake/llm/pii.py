@@ -12,7 +12,8 @@ only tried where its digits begin.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give
 repeated results; an empty table gives an empty one.  Offsets are code points, ends
-exclusive.
+exclusive.  Spans of different kinds may overlap; each stands for itself.  Other columns
+are kept by ``with_pii`` and not read; names beginning with ``_kv_`` are reserved.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:gh[pousr]|sk|xox[abp])[_-][A-Za-z0-9]{20,64})(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key)(?: ?[=:] ?)[\"']?[A-Za-z0-9+/_-]{12,128}(?![A-Za-z0-9+/_-])", re.ASCII)
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:gh[pousr]|sk|xox[abp])[_-][A-Za-z0-9]{20,}+)(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key)(?: ?[=:] ?)[\"']?[A-Za-z0-9+/_-]{12,}+", re.ASCII)
 _ANY_DIGIT = re.compile(r"[0-9]")
 
 _PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "secret": 0.7}

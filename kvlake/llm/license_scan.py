@@ -11,8 +11,8 @@ words, so the look-up loses nothing, whichever words are taken as rare.  Long li
 have a template for each paragraph that tells them apart; an edited one is found while
 its key phrases stand, with the share of its words as coverage.
 
-The scan is one map over the documents without a shuffle or a first pass.  Texts without
-an index word, which are most, are done after one look for each template.
+The scan is one map over the documents without a shuffle or a first pass.  Most texts
+have none of a few words of which every template and phrase has one; they are done then.
 
 Defined results: a null text counts as empty: no words, no labels, score and coverage 0;
 repeated rows give repeated results; an empty table gives an empty one; templates and
@@ -214,6 +214,16 @@ def rare_words(templates) -> list[list[int]]:
     return [sorted(t.mandatory, key=lambda i: rank(t, i))[:RARE] for t in templates]
 
 
+def cover(word_sets) -> list[str]:
+    """Few words of which every set has one, six letters or more where there are such."""
+    rest, out = [set(s) for s in word_sets], []
+    while rest:
+        held = Counter(w for s in rest for w in s)
+        out.append(max(held, key=lambda w: (len(w) >= 6, held[w], len(w), w)))
+        rest = [s for s in rest if out[-1] not in s]
+    return out
+
+
 def _array(rows, kind: str) -> Column:
     nested = kind.count("array") > 1
     return F.array(*(F.array(*map(F.lit, r)) if nested else F.lit(r) for r in rows)).cast(kind)
@@ -278,27 +288,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
 
     kind = "array<struct<n:int,label:string,of:int>>"
     step = docs.select(F.col(id_col), normal(F.col(text_col)).alias("_kv_norm"))
-    padded = F.concat(F.lit(" "), F.col("_kv_norm"), F.lit(" "))
-    step = step.select(id_col, "_kv_norm", padded.alias("_kv_padded"))
+    norm = F.col("_kv_norm")
+    some = F.lit(False)  # only texts with one of these words can hold anything
+    for w in cover([p.split() for p in phrases] + [{t.words[i] for i in t.mandatory} for t in templates]):
+        some = some | F.contains(norm, F.lit(w))
+    step = step.select(
+        id_col,
+        F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
+        F.when(some, F.concat(F.lit(" "), norm, F.lit(" "))).alias("_kv_padded"),
+        F.when(some, words_of(norm)).alias("_kv_words"),
+    )
     holds = lambda x: F.contains("_kv_padded", F.lit(f" {x} "))
-    any_phrase, any_template = F.lit(False), F.lit(False)
-    for p in phrases:
-        any_phrase = any_phrase | holds(p)
-    for w in sorted({t.words[r[0]] for t, r in zip(templates, rare)}):  # each template needs its rarest word
-        any_template = any_template | holds(w)
+    base = F.array_compact(F.array(*(F.when(holds(p), F.lit(v)) for p, v in sorted(phrases.items(), key=lambda x: x[1]))))
+    rarest = _array(sorted({t.words[r[0]] for t, r in zip(templates, rare)}), "array<string>")  # each template needs its own
     step = step.select(
         id_col,
-        F.when(F.col("_kv_norm") == "", 0).otherwise(F.length("_kv_norm") - F.length(F.replace("_kv_norm", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
-        any_template.alias("_kv_any"),
-        F.when(any_phrase | any_template, words_of(F.col("_kv_norm"))).alias("_kv_words"),
-        F.array_compact(F.array(*(F.when(holds(p), F.lit(v)) for p, v in sorted(phrases.items(), key=lambda x: x[1])))).alias("_kv_base"),
+        "n_words",
+        "_kv_words",
+        F.when(F.col("_kv_words").isNotNull(), F.array_distinct(base)).otherwise(F.array().cast("array<string>")).alias("_kv_base"),
+        F.coalesce(F.arrays_overlap("_kv_words", rarest), F.lit(False)).alias("_kv_any"),
     )
     step = step.select(
         id_col,
         "n_words",
         F.when(F.size("_kv_base") > 0, let(F.col("_kv_words"), places)).otherwise(F.array().cast("array<int>")).alias("_kv_places"),
         F.when(F.col("_kv_any"), let(F.col("_kv_words"), found)).otherwise(F.array().cast(kind)).cast(kind).alias("_kv_found"),
-        F.array_sort(F.array_distinct("_kv_base")).alias("_kv_base"),
+        F.array_sort("_kv_base").alias("_kv_base"),
     )
     every = F.array_sort(F.array_union(F.col("_kv_base"), F.transform("_kv_found", lambda x: x["label"])))
     share = lambda x: x["n"] / x["of"]

@@ -6,10 +6,12 @@ an anomaly score from the path lengths over random splits, and the threshold of
 that score is calibrated on labelled rows.
 
 Defined results: a null or empty text has no words, so it fails the rules;
-repeated rows are scored one by one; an empty table gives an empty result;
-without labels there is no threshold and only the fixed rules reject.  Extra
+repeated rows are scored one by one, and a score equal to the threshold is kept; an
+empty table gives an empty result; without labels there is no threshold and only the
+fixed rules reject; an id labelled more than once counts with its lowest label.  Extra
 columns are kept by ``filter_documents``; names beginning with ``_kv_`` are
-reserved.
+reserved.  A text is held whole by the task that reads it, at some 60 bytes for each of
+its words.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scan import Tokens, as_bytes, bytes_per_doc, per_doc, slices, span_hashes, windows
-from .store import small_batches, written
+from .store import small_batches
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -32,7 +34,6 @@ TREES, SUBSAMPLE = 100, 256
 GOOD_LOSS = 0.002  # share of labelled good rows that the threshold may reject
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_types")
-STATS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 
 
 def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
@@ -105,23 +106,45 @@ def _repeated(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _add_stats(text_col: str, names: list[str]):
+def _scanner(text_col: str, names: list[str], sent=None, kept: bool = False):
+    """Columns ``names`` with the statistics, and with the verdict if a model is ``sent``;
+    of ``kept`` documents alone, without either, if that is asked for."""
+
     def run(batches):
         for batch in batches:
             stats = text_stats(batch.column(batch.schema.get_field_index(text_col)))
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(stats[c]) for c in COUNTS)], names=[*names, *(f"_kv_{c}" for c in COUNTS)])
+            if sent is None:
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(stats[c]) for c in COUNTS)], names=[*names, *(f"_kv_{c}" for c in COUNTS)])
+                continue
+            n = stats["n_words"]
+            failed = (n < MIN_WORDS) | (100 * stats["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
+            if sent.value is None or not len(n):
+                score, odd = np.zeros(len(n)), np.zeros(len(n), bool)
+            else:
+                forest, most = sent.value
+                score = path_scores(forest, features(pd.DataFrame(stats)))
+                odd = score > most
+            keep = ~failed & ~odd
+            if kept:
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
+                continue
+            verdict = {"failed": failed, "kept": keep, "score": score}
+            yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, (stats | verdict).values())], names=[*names, *(f"_kv_{c}" for c in stats | verdict)])
 
     return run
 
 
+STATS = [T.StructField(f"_kv_{c}", T.LongType()) for c in COUNTS]
+VERDICT = [T.StructField("_kv_failed", T.BooleanType()), T.StructField("_kv_kept", T.BooleanType()), T.StructField("_kv_score", T.DoubleType())]
+
+
 def with_stats(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and one ``_kv_`` column for each statistic."""
     small_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
-    fields = [df.schema[c] for c in keep] + [T.StructField(f"_kv_{c}", T.LongType()) for c in COUNTS]
     need = df.select(*dict.fromkeys([*keep, text_col]))
-    return need.mapInArrow(_add_stats(text_col, list(keep)), T.StructType(fields))
+    return need.mapInArrow(_scanner(text_col, list(keep)), T.StructType([*(df.schema[c] for c in keep), *STATS]))
 
 
 def features(s: pd.DataFrame) -> np.ndarray:
@@ -173,16 +196,26 @@ class IsolationForest:
         node(x, 0)
         return np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(value), depth
 
+    @property
+    def plain(self) -> tuple[float, list[tuple]]:
+        """The forest as numbers and arrays alone; what is broadcast."""
+        return max(self.norm, 1e-9), self.trees
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, cut, left, right, value, depth in self.trees:
-            at = np.zeros(len(x), np.int64)
-            for _ in range(depth):
-                f = feature[at]
-                at = np.where(f < 0, at, np.where(x[rows, np.maximum(f, 0)] <= cut[at], left[at], right[at]))
-            total += value[at]
-        return 2.0 ** (-total / len(self.trees) / max(self.norm, 1e-9))
+        return path_scores(self.plain, x)
+
+
+def path_scores(forest: tuple[float, list[tuple]], x: np.ndarray) -> np.ndarray:
+    norm, trees = forest
+    total = np.zeros(len(x))
+    rows = np.arange(len(x))
+    for feature, cut, left, right, value, depth in trees:
+        at = np.zeros(len(x), np.int64)
+        for _ in range(depth):
+            f = feature[at]
+            at = np.where(f < 0, at, np.where(x[rows, np.maximum(f, 0)] <= cut[at], left[at], right[at]))
+        total += value[at]
+    return 2.0 ** (-total / len(trees) / norm)
 
 
 def _mean_path(n: int) -> float:
@@ -195,25 +228,26 @@ def base_failed(prefix: str = ""):
     return (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", fit_rows: int = FIT_ROWS, seed: int = 42) -> tuple[IsolationForest, float] | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, seed: int = 42) -> tuple[IsolationForest, float] | None:
     """Forest and threshold from at most ``fit_rows`` labelled rows.
 
-    The sample is the labelled rows that pass the fixed rules with the smallest
-    hash of their id, so it does not depend on partitioning.  The forest grows on
-    the rows labelled good.  The threshold is the one that separates the two
+    The sample is the documents of the ``fit_rows`` labelled ids with the smallest hash,
+    so it does not depend on partitioning; it is broadcast to the documents, so only its
+    texts are looked at.  Those that fail the fixed rules are left out.  The forest grows
+    on the rows labelled good.  The threshold is the one that separates the two
     labels best among those that lose no more than ``GOOD_LOSS`` of the good
     rows.  None if no good row is labelled.
     """
-    lab = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("_kv_label"))
-    both = stats.where(~base_failed("_kv_")).join(lab, id_col)
+    lab = labels.where("quality is not null").select(F.col(id_col).try_cast(docs.schema[id_col].dataType).alias("_kv_id"), "quality").where("_kv_id is not null")
+    lab = lab.groupBy("_kv_id").agg(F.min("quality").alias("_kv_label"))
     share = min(1.0, 1.5 * fit_rows / max(1, lab.count()))  # so that tasks send few rows beyond the sample
-    rows = (
-        both.where(F.xxhash64(F.col(id_col), F.lit(seed)).cast("double") <= (2 * share - 1) * 2.0**63)
-        .orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
-        .limit(fit_rows)
-        .select("_kv_label", *(F.col(f"_kv_{c}").alias(c) for c in COUNTS))
-        .toPandas()
-    )
+    place = F.xxhash64(F.col("_kv_id"), F.lit(seed))
+    sample = lab.where(place.cast("double") <= (2 * share - 1) * 2.0**63).orderBy(place, "_kv_id").limit(fit_rows)
+    rows = docs.select(F.col(id_col).alias("_kv_id"), F.col(text_col).alias("_kv_text")).join(F.broadcast(sample), "_kv_id")
+    rows = with_stats(rows, "_kv_text", ["_kv_id", "_kv_label"]).where(~base_failed("_kv_"))
+    counts = [f"_kv_{c}" for c in COUNTS]
+    rows = rows.orderBy(place, "_kv_id", *counts).limit(fit_rows)  # ids may be repeated
+    rows = rows.select("_kv_label", *(F.col(c).alias(c[4:]) for c in counts)).toPandas()
     good = (rows["_kv_label"] == 1).to_numpy() if len(rows) else np.zeros(0, bool)
     if not good.any():
         return None
@@ -228,39 +262,20 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", fit_rows: i
     return forest, float(cuts[int(np.argmax(gain))])
 
 
-def _score(model, names: list[str]):
-    def run(batches):
-        for batch in batches:
-            pdf = pd.DataFrame({c: batch.column(batch.schema.get_field_index(f"_kv_{c}")).to_numpy(zero_copy_only=False) for c in COUNTS})
-            if model.value is None or not len(pdf):
-                score, odd = np.zeros(len(pdf)), np.zeros(len(pdf), bool)
-            else:
-                forest, most = model.value
-                score = forest.score(features(pdf))
-                odd = score > most
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(score), pa.array(odd)], names=[*names, "_kv_score", "_kv_odd"])
-
-    return run
-
-
-def judged(stats: DataFrame, model) -> DataFrame:
-    """Adds ``_kv_score``, ``_kv_odd``, ``_kv_failed`` and ``_kv_kept``.  The model
-    (100 trees of at most 511 nodes, whatever the input) is broadcast."""
-    fields = [*stats.schema.fields, T.StructField("_kv_score", T.DoubleType()), T.StructField("_kv_odd", T.BooleanType())]
-    sent = stats.sparkSession.sparkContext.broadcast(model)
-    out = stats.mapInArrow(_score(sent, stats.columns), T.StructType(fields))
-    return out.withColumn("_kv_failed", base_failed("_kv_")).withColumn("_kv_kept", ~F.col("_kv_failed") & ~F.col("_kv_odd"))
+def judged(docs: DataFrame, model: tuple[IsolationForest, float] | None, text_col: str, keep: list[str], kept: bool = False) -> DataFrame:
+    """The columns ``keep`` with statistics and verdict, or with ``kept`` those of the
+    documents that pass, alone.  What is broadcast is 100 trees of at most 511 nodes,
+    whatever the input."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model and (model[0].plain, model[1]))
+    fields = [docs.schema[c] for c in keep]
+    need = docs.select(*dict.fromkeys([*keep, text_col]))
+    return need.mapInArrow(_scanner(text_col, list(keep), sent, kept), T.StructType(fields if kept else [*fields, *STATS, *VERDICT]))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
-    """One row per document: id, statistics, score and verdict.
-
-    The texts are read once: their statistics go to a table in the shared folder,
-    from which the forest is fitted and which it then scores.
-    """
-    stats = written(with_stats(docs, text_col, [id_col]))
-    out = judged(stats, fit(stats, labels, id_col, seed=seed))
+    """One row per document: id, statistics, score and verdict."""
+    out = judged(docs, fit(docs, labels, id_col, text_col, seed=seed), text_col, [id_col])
     return out.select(
         id_col,
         *(F.col(f"_kv_{c}").alias(c) for c in COUNTS[:5]),
@@ -273,5 +288,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    fitted = fit(with_stats(docs, text_col, [id_col]), labels, id_col, seed=seed)
-    return judged(with_stats(docs, text_col), fitted).where("_kv_kept").select(*docs.columns)
+    return judged(docs, fit(docs, labels, id_col, text_col, seed=seed), text_col, list(docs.columns), kept=True)

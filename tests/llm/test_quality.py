@@ -1,3 +1,5 @@
+import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -48,6 +50,26 @@ def test_forest_finds_outliers():
     assert f.score(np.full((1, 4), 8.0))[0] > np.quantile(f.score(x), 0.99)
 
 
+def test_scores_against_walked_paths():
+    """Paths of every row through every tree, a leaf's value being its depth and the mean
+    path of the rows that come to it."""
+    x = np.random.default_rng(3).normal(size=(40, 3)).round(1)
+    f = Q.IsolationForest(x, trees=7, subsample=40)  # each tree grows on all rows
+    mean = lambda n: 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    paths = np.zeros(len(x))
+    for feature, cut, left, right, _, _ in f.trees:
+        ends = []
+        for row in x:
+            k = depth = 0
+            while feature[k] >= 0:
+                k, depth = (left if row[feature[k]] <= cut[k] else right)[k], depth + 1
+            ends.append((k, depth))
+        held = Counter(k for k, _ in ends)
+        paths += [d + mean(held[k]) for k, d in ends]
+    assert f.score(x) == pytest.approx(2 ** (-paths / 7 / mean(40)))
+    assert Q.path_scores(pickle.loads(pickle.dumps(f.plain)), x) == pytest.approx(f.score(x))
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     d = "/root/testdata/sf0.01"

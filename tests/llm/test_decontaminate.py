@@ -35,7 +35,7 @@ def brute(text, items, window=13):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), max_size=5), st.lists(st.lists(st.sampled_from("abcd"), max_size=30), max_size=4), st.integers(1, 5))
 def test_automaton(items, docs, window):
-    auto = D.SuffixAutomaton([(str(k), [w.encode() for w in i]) for k, i in enumerate(items)], window)
+    auto = D.Matcher(D.build([(str(k), [w.encode() for w in i]) for k, i in enumerate(items)], window))
     got = D.match_texts(pa.array([" ".join(d) for d in docs], pa.string()), auto)
     for (n, spans, met, _), d in zip(got, docs):
         want = brute(" ".join(d), [(str(k), " ".join(i)) for k, i in enumerate(items)], window)

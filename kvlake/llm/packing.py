@@ -6,15 +6,17 @@ Dynamic programming over it chooses the ``buckets`` boundaries with the least
 padding.  Inside a bucket, each batch takes as many pieces as fit the token
 budget.
 
-A bucket is dealt to shards of about ``shard_rows`` pieces by a hash of the id, so
-no task holds a whole bucket; each shard ends with at most one batch that is not
+A bucket is dealt to shards of about ``shard_rows`` pieces by a hash of the id, and
+rows repeated more often than that by their place in the table, so no task holds a whole
+bucket or a whole group of copies; each shard ends with at most one batch that is not
 full.  Only the histogram reaches the driver.
 
 A token is a run of characters other than ASCII white space, or any expression
 given as ``tokens``.  Defined results: a text without tokens, or null, has one piece
-of length 0 with bucket 0 and no batch; repeated rows are pieces of their own, in
-one shard; an empty table gives an empty result.  Columns other than the id are
-not carried along.
+of length 0 with bucket 0 and no batch; repeated rows are pieces of their own; ids may be
+null; an empty table gives an empty result.  A text of any length becomes pieces of
+``max_len``.  Columns other than the id are not carried along; an id column with the name
+of a result column is refused.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ MAX_LEN = 2048
 BUCKETS = 16
 BATCH_TOKENS = 32_768
 SHARD_ROWS = 16_384
+RESULT = ("piece", "n_tokens", "bucket", "shard", "batch", "slot")
 
 
 def word_count(text: Column) -> Column:
@@ -86,6 +89,8 @@ def pieces(docs: DataFrame, id_col: str, tokens: Column, max_len: int) -> DataFr
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, max_len: int = MAX_LEN, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each piece: id, piece, n_tokens, bucket (the padded length),
     shard, batch (number inside bucket and shard) and slot inside the batch."""
+    if id_col in RESULT or id_col.startswith("_kv_"):
+        raise ValueError(f"{id_col} is a column of the result; rename the id")
     if batch_tokens < max_len:
         raise ValueError("a batch must hold a piece of full length")
     tokens = word_count(F.col(text_col)) if tokens is None else tokens
@@ -100,7 +105,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
         shards = F.when(inside, -(-held // shard_rows)).otherwise(shards)
         lower = b
     rows = rows.withColumn("bucket", bucket.cast("long"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(id_col, "piece"), shards.cast("long")))
+    salt = F.lit(0).cast("long")
+    hot = written(rows.groupBy(id_col, "piece").count().where(F.col("count") > shard_rows).select(F.col(id_col).alias("_kv_id"), F.col("piece").alias("_kv_piece")))
+    if not hot.isEmpty():  # repeated rows are alike, so they may be dealt by their place in the table
+        rows = rows.withColumn("_kv_at", F.monotonically_increasing_id())
+        rows = rows.join(hot, F.col(id_col).eqNullSafe(F.col("_kv_id")) & (F.col("piece") == F.col("_kv_piece")), "left")
+        salt = F.when(F.col("_kv_piece").isNotNull(), F.col("_kv_at")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col(id_col), F.col("piece"), salt), shards.cast("long")))
     order = Window.partitionBy("bucket", "shard").orderBy(F.xxhash64(id_col, "piece", F.lit(1)), id_col, "piece", "n_tokens")
     rows = rows.withColumn("_kv_k", F.row_number().over(order).cast("long") - 1)
     size = F.floor(F.lit(batch_tokens) / F.greatest(F.col("bucket"), F.lit(1)))

@@ -52,3 +52,15 @@ def test_pack(spark, shard_rows):
 def test_other_lengths(spark):
     df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("é").alias("text"))
     assert {r.n_tokens for r in P.pack(df, tokens=F.octet_length("text")).collect()} == {2}
+
+
+def test_repeated_rows_are_dealt_too(spark):
+    """A third of all rows is one document, another third has no id: no shard holds either."""
+    rows = [(7, "a b c")] * 3000 + [(None, "a b")] * 3000 + [(100 + k, "a b c d") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = P.pack(df, shard_rows=500, batch_tokens=P.MAX_LEN).collect()
+    assert len(out) == len(rows)
+    held = Counter((r.bucket, r.shard) for r in out)
+    assert max(held.values()) < 750
+    slots = Counter((r.bucket, r.shard, r.batch, r.slot) for r in out)
+    assert max(slots.values()) == 1 and all(r.slot < P.MAX_LEN // r.bucket for r in out)

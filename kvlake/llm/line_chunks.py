@@ -25,8 +25,11 @@ every size, since the lists that they bring to the texts grow with the input.
 
 Defined results: a null text stays null; rows with equal id and text are one
 document, so both keep the same chunks; a null id comes after all others; a text
-that loses all of its lines is empty; an empty table gives an empty result.  Other
-columns pass through.  Names beginning with ``_kv_`` are reserved.
+that loses all of its lines is empty; an empty table gives an empty result.  Without
+passages a short line that repeats alone between changing neighbours goes only where the
+cuts fall so.  Other columns pass through.  Names beginning with ``_kv_`` are reserved.
+A text is held whole by the task that reads it, at some 60 bytes for each of its words
+and lines.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scan import Tokens, as_bytes, mix64, slices, span_hashes
-from .store import small_batches, written
+from .store import released, small_batches, written
 
 MIN_LINES, MAX_LINES = 2, 8
 DIVISOR = 2  # a chunk ends at one of so many lines, on average
@@ -190,7 +193,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     kind = T.StructType([docs.schema[id_col], T.StructField("_kv_key", T.BinaryType()), *SPAN])
     spans = written(slim.mapInArrow(_proposer(text_col, [id_col, "_kv_key"], passages), kind))
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_kv_key").alias("key"), F.col("_kv_from").alias("from"), F.col("_kv_to").alias("to"))
-    again = spans.groupBy("_kv_hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join reads plain exchanges and a hash of many documents can be split
+    again = written(spans.groupBy("_kv_hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
     # the first occurrence stays, and so does what overlaps it
     stays = (F.col("_kv_key") == F.col("first.key")) & (F.col("_kv_from") < F.col("first.to"))
     found = spans.join(again, "_kv_hash").select("_kv_key", "_kv_from", "_kv_to", "_kv_hash", stays.alias("_kv_first")).distinct()
@@ -199,8 +203,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     own = found.groupBy("_kv_key").agg(F.collect_list(F.struct(F.col("_kv_from").alias("from"), F.col("_kv_to").alias("to"), F.col("_kv_hash").alias("hash"))).alias("_kv_list"))
     told = slim.select("_kv_key", text_col).join(own.hint("merge"), "_kv_key").select(text_col, "_kv_list").mapInArrow(_teller(text_col), "hash binary, content binary")
     unlike = told.groupBy("hash").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi")
-    gone = found.where("not _kv_first").join(written(unlike.select("hash")), F.col("_kv_hash") == F.col("hash"), "left_anti")
-    return written(gone.groupBy("_kv_key").agg(F.collect_list(F.struct(F.col("_kv_from").alias("from"), F.col("_kv_to").alias("to"))).alias("_kv_drop")))
+    unlike = written(unlike.select("hash"))
+    gone = found.where("not _kv_first").join(unlike, F.col("_kv_hash") == F.col("hash"), "left_anti")
+    out = written(gone.groupBy("_kv_key").agg(F.collect_list(F.struct(F.col("_kv_from").alias("from"), F.col("_kv_to").alias("to"))).alias("_kv_drop")))
+    released(spans, again, found, unlike)
+    return out
 
 
 def _lost(words: list[int], drop: list[dict], passages: bool) -> list[tuple[int, int]]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DELETE
@@ -12,19 +12,23 @@ from .ranges import lower_bound, within
 L0_FILES, L1_BYTES, LEVELS = 4, 10 * 1048576, 7
 
 
-def retain(log: DataFrame, smallest_snapshot: int, deeper: DataFrame | None = None) -> DataFrame:
+def retain(log: DataFrame, smallest_snapshot: int, deeper: DataFrame | None = None, order: Column | None = None, keep_tombstones: bool = False) -> DataFrame:
     """Entries that some read at ``smallest_snapshot`` or later may need.
 
     An entry goes if the next newer one of its key is visible at that snapshot; a
     tombstone visible there goes too, if no file of ``deeper`` (lo, hi) can hold its
-    key.  Without ``deeper``, nothing lies below.
+    key.  Without ``deeper``, nothing lies below.  The ends of files are keys, or
+    values of ``order``.
     """
     w = Window.partitionBy("key").orderBy(F.desc("seq"), F.desc("kind"))
     kept = log.withColumn("_newer", F.lag("seq").over(w)).where(F.coalesce(F.col("_newer") > smallest_snapshot, F.lit(True))).drop("_newer")
+    if keep_tombstones:
+        return kept
     dead = (F.col("kind") == DELETE) & (F.col("seq") <= smallest_snapshot)
     if deeper is None:
         return kept.where(~dead)
-    held = within(kept.where(dead).select("key").distinct(), "key", deeper.select("lo", "hi"), "lo", "hi").select("key", F.lit(True).alias("_held")).distinct()
+    asked = kept.where(dead).select("key", (F.col("key") if order is None else order).alias("_place")).distinct()
+    held = within(asked, "_place", deeper.select("lo", "hi"), "lo", "hi").select("key", F.lit(True).alias("_held")).distinct()
     return kept.join(held, "key", "left").where(~dead | F.coalesce("_held", F.lit(False))).drop("_held")
 
 

@@ -1,6 +1,7 @@
 """A key-value store on Parquet: segments of operations and a log of manifests.
 
-``<path>/segments/NNNNNN-*/`` holds sorted Parquet files of one file number;
+``<path>/segments/NNNNNN-*/`` holds sorted Parquet files of one flush (one file number) or
+of one compaction (a file number and a disjoint key range for each);
 ``<path>/manifest/N.json`` is the complete version N: live files with their key ranges,
 the last sequence and the next file number.  A commit writes N + 1 beside its name and
 renames it; the rename fails if another writer was first, so commits are atomic and
@@ -9,13 +10,20 @@ lost updates cannot happen.  The version with the largest number is the current
 All file operations go through Hadoop's file system, so the store lives wherever Spark
 reads and writes; an atomic rename is asked of the file system (HDFS and local have it).
 Only metadata is on the driver: one record for each file.
+
+A writer holds a lease: ``LOCK`` names its owner and until when, and is renewed while the
+owner's process lives.  A lease that has run out is taken over by the next to open, so
+clocks must agree to within a lease.
 """
 
 from __future__ import annotations
 
 import json
 import logging
+import re
 import tempfile
+import threading
+import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -33,6 +41,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:  # one machine, as in tests
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise InvalidArgument("spark.checkpoint.dir", "must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="kvlake-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -57,6 +67,7 @@ class Options:
     reuse_logs: bool = False
     bloom: bool = True
     keep_versions: int = 10  # old manifests that readers may still hold
+    lease_seconds: float = 60.0
 
     def clipped(self) -> Options:
         clip = lambda v, lo, hi: max(lo, min(hi, v))
@@ -82,6 +93,16 @@ class FileMeta:
     smallest_seq: int = 0
     largest_seq: int = 0
     path: str = ""  # below segments/; its own for every attempt to commit
+    lo: str = ""  # hex of the ends in the store's order, where that is not the keys' own
+    hi: str = ""
+
+    @property
+    def range(self) -> tuple[bytes, bytes]:
+        return bytes.fromhex(self.lo or self.smallest), bytes.fromhex(self.hi or self.largest)
+
+    def meets(self, lo: bytes | None, hi: bytes | None) -> bool:
+        a, b = self.range
+        return (hi is None or a <= hi) and (lo is None or b >= lo)
 
 
 @dataclass
@@ -93,6 +114,7 @@ class Version:
     files: list[FileMeta] = field(default_factory=list)
     pointers: dict[str, str] = field(default_factory=dict)
     stats: dict[str, list[int]] = field(default_factory=dict)
+    streams: dict[str, int] = field(default_factory=dict)  # last batch of each stream that writes here
 
 
 class Files:
@@ -125,9 +147,12 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, p: str, text: str) -> None:
-        """Fails if the file is there."""
-        stream = self.fs.create(self.path(p), False)
+    def sizes(self, p: str) -> dict[str, int]:
+        return {x.getPath().getName(): x.getLen() for x in self.fs.listStatus(self.path(p))}
+
+    def create(self, p: str, text: str, replace: bool = False) -> None:
+        """Fails if the file is there, unless it may be replaced."""
+        stream = self.fs.create(self.path(p), replace)
         try:
             stream.write(bytearray(text.encode()))
             stream.hsync()
@@ -141,6 +166,59 @@ class Files:
         return self.fs.delete(self.path(p), True)
 
 
+class Lease:
+    """The right to write, as a file that is renewed in the background."""
+
+    def __init__(self, fs: Files, path: str, seconds: float):
+        self.fs, self.path, self.seconds, self.owner = fs, path, seconds, uuid.uuid4().hex
+        if not self._create():
+            if not self.expired(fs, path):
+                raise StoreIOError(f"lock {path}", "already held")
+            old = f"{path}.{self.owner}"  # of several that find it expired, one can move it away
+            if not (fs.rename(path, old) and self._create()):
+                raise StoreIOError(f"lock {path}", "already held")
+            fs.delete(old)
+        self._stop = threading.Event()
+        threading.Thread(target=self._renew, daemon=True).start()
+
+    @staticmethod
+    def expired(fs: Files, path: str) -> bool:
+        try:
+            return json.loads(fs.read(path))["until"] < time.time()
+        except (ValueError, KeyError, TypeError):
+            return False  # being written, or not ours
+
+    def _text(self) -> str:
+        return json.dumps({"owner": self.owner, "until": time.time() + self.seconds})
+
+    def _create(self) -> bool:
+        try:
+            self.fs.create(self.path, self._text())
+            return True
+        except Exception:
+            return False
+
+    def mine(self) -> bool:
+        try:
+            return json.loads(self.fs.read(self.path))["owner"] == self.owner
+        except Exception:
+            return False
+
+    def _renew(self) -> None:
+        while not self._stop.wait(self.seconds / 3):
+            try:
+                if not self.mine():
+                    return
+                self.fs.create(self.path, self._text(), replace=True)
+            except Exception as e:
+                log.warning("lease %s was not renewed: %s", self.path, e)
+
+    def release(self) -> None:
+        self._stop.set()
+        if self.mine():
+            self.fs.delete(self.path)
+
+
 class KVStore:
     """Open with ``KVStore.open``; one writer at a time, any number of readers."""
 
@@ -164,12 +242,10 @@ class KVStore:
             raise InvalidArgument(path, "exists (error_if_exists is true)")
         fs.mkdirs(f"{root}/manifest")
         fs.mkdirs(f"{root}/segments")
-        try:
-            fs.create(f"{root}/LOCK", uuid.uuid4().hex)
-        except Exception as e:
-            raise StoreIOError(f"lock {root}/LOCK", "already held") from e
+        lease = Lease(fs, f"{root}/LOCK", options.lease_seconds)
         try:
             db = cls(spark, path, options, Version(comparator=options.comparator), fs)
+            db._lease = lease
             if there:
                 db.version = cls._read(fs, root, cls._numbers(fs, root)[-1])
                 if db.version.comparator != options.comparator:
@@ -180,7 +256,7 @@ class KVStore:
             db.remove_obsolete()
             return db
         except BaseException:
-            fs.delete(f"{root}/LOCK")
+            lease.release()
             raise
 
     @staticmethod
@@ -197,13 +273,13 @@ class KVStore:
 
     def _check_files(self) -> None:
         have = set(self._fs.names(f"{self.path}/segments"))
-        gone = [f.file_no for f in self.version.files if f.path not in have]
+        gone = [f.file_no for f in self.version.files if f.path.partition("/")[0] not in have]
         if gone:
             raise Corruption(f"{len(gone)} missing files", f"e.g. {gone[0]:06d}")
 
     def close(self) -> None:
         if not self.closed:
-            self._fs.delete(f"{self.path}/LOCK")
+            self._lease.release()
             self.closed = True
 
     def __enter__(self) -> KVStore:
@@ -214,6 +290,8 @@ class KVStore:
 
     def _commit(self, version: Version) -> None:
         version = replace(version, number=self.version.number + 1)
+        if not self._lease.mine():
+            raise StoreIOError(f"lock {self.path}/LOCK", "was taken over")
         temp, name = f"{self.path}/manifest/{uuid.uuid4().hex}.tmp", f"{self.path}/manifest/{version.number:020d}.json"
         self._fs.create(temp, json.dumps(asdict(version)))
         if not self._fs.rename(temp, name):
@@ -241,16 +319,27 @@ class KVStore:
         self.write(None)
 
     def bulk_put(self, rows: DataFrame) -> None:
-        """All rows (key, value) as one atomic batch.  Sequences are numbered by task:
-        one count for each task makes the offsets, so no task sees all rows.  Of equal
-        keys, any one wins."""
-        self._bulk(rows.select(F.col("key").cast("binary"), F.lit(PUT).cast("byte").alias("kind"), F.col("value").cast("binary")))
+        """All rows (key, value) as one atomic batch.  With a column ``ord`` the batch is in
+        its order, so of equal keys the last one wins; without, any one does."""
+        self._bulk(rows.select(F.col("key").cast("binary"), F.lit(PUT).cast("byte").alias("kind"), F.col("value").cast("binary"), *self._ord(rows)))
 
     def bulk_delete(self, keys: DataFrame) -> None:
         self._bulk(keys.select(F.col("key").cast("binary"), F.lit(DELETE).cast("byte").alias("kind"), F.lit(None).cast("binary").alias("value")))
 
+    def bulk_write(self, ops: DataFrame) -> None:
+        """Puts and deletes (kind, key, value, ord) as one atomic batch in the order of ``ord``."""
+        self._bulk(ops.select(F.col("key").cast("binary"), F.col("kind").cast("byte").alias("kind"), F.col("value").cast("binary"), *self._ord(ops)))
+
+    @staticmethod
+    def _ord(rows: DataFrame) -> list[Column]:
+        return [F.col("ord")] if "ord" in rows.columns else []
+
     def _bulk(self, rows: DataFrame) -> None:
+        """Sequences are numbered by task: one count for each task makes the offsets, so no
+        task sees all rows.  Tasks hold ranges of ``ord``, if it is there, in order."""
         staged = scratch(self.spark, "bulk")
+        if "ord" in rows.columns:
+            rows = rows.repartitionByRange("ord").sortWithinPartitions("ord").drop("ord")
         rows.withColumn("_id", F.monotonically_increasing_id()).write.parquet(staged)
         rows = self.spark.read.parquet(staged).withColumn("_task", F.shiftright("_id", 33))
         counts = sorted((r["_task"], r["count"]) for r in rows.groupBy("_task").count().collect())  # one row a task
@@ -265,39 +354,56 @@ class KVStore:
         self._append(rows, total - 1)
         self._fs.delete(staged)
 
-    def append_ops(self, ops: DataFrame) -> None:
-        """Ops that carry their own sequences, all above the last one."""
+    def append_ops(self, ops: DataFrame, stream: tuple[str, int] | None = None) -> None:
+        """Ops that carry their own sequences, all above the last one.  Those of a
+        ``stream`` (its name and the number of the batch) may come late, with sequences
+        below the last one; such a store keeps its tombstones, since what they hide may
+        still arrive."""
         low, high = ops.agg(F.min("seq"), F.max("seq")).first()
         if high is None:
             return
-        if low <= self.version.last_seq or high > MAX_SEQ:
+        if stream is None and low <= self.version.last_seq or high > MAX_SEQ:
             raise InvalidArgument("sequences must follow the last one", f"{low} after {self.version.last_seq}")
-        self._append(ops.select("seq", F.col("kind").cast("byte").alias("kind"), "key", "value"), high)
+        self._append(ops.select("seq", F.col("kind").cast("byte").alias("kind"), "key", "value"), max(high, self.version.last_seq), stream)
 
-    def _append(self, ops: DataFrame, last: int) -> None:
+    def _append(self, ops: DataFrame, last: int, stream: tuple[str, int] | None = None) -> None:
         number = self.version.next_file
-        meta = self._segment(ops, number, 0)
-        files = self.version.files + ([meta] if meta else [])
-        self._commit(replace(self.version, last_seq=last, next_file=number + 1, files=files))
+        metas = self._segment(ops, number, 0)
+        streams = self.version.streams if stream is None else {**self.version.streams, stream[0]: stream[1]}
+        self._commit(replace(self.version, last_seq=last, next_file=number + 1, files=self.version.files + metas, streams=streams))
 
     def _order(self, key: str = "key") -> Column:
         return F.col(key) if self.options.sort_key is None else self.options.sort_key(F.col(key))
 
-    def _segment(self, ops: DataFrame, number: int, level: int) -> FileMeta | None:
-        """Writes ops sorted by key under one file number; None if there are none."""
+    def _segment(self, ops: DataFrame, number: int, level: int, parts: int = 0) -> list[FileMeta]:
+        """Writes ops sorted by key: under one file number, or with ``parts`` as at most so
+        many files of disjoint key ranges, numbered from ``number`` on."""
         name = f"{number:06d}-{uuid.uuid4().hex[:8]}"
         at = f"{self.path}/segments/{name}"
-        rows = ops.withColumn("_order", self._order()).repartitionByRange("_order").sortWithinPartitions("_order", F.desc("seq"), F.desc("kind")).drop("_order")
+        rows = ops.withColumn("_order", self._order())
+        rows = (rows.repartitionByRange(parts, "_order") if parts else rows.repartitionByRange("_order")).sortWithinPartitions("_order", F.desc("seq"), F.desc("kind")).drop("_order")
         out = rows.write.option("compression", self.options.compression).option("parquet.page.size", self.options.block_size)
         if self.options.bloom:
             out = out.option("parquet.bloom.filter.enabled#key", "true")
         out.parquet(at)
-        lo, hi = (f(F.struct(self._order().alias("o"), "key", (F.col("seq") * s).alias("s"))).alias(n) for f, n, s in ((F.min, "lo", -1), (F.max, "hi", -1)))
-        r = self.spark.read.schema(OPS).parquet(at).agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"), lo, hi).first()
-        if not r["n"]:
+        metas = self._metas(self.spark.read.schema(OPS).parquet(at), name, self._fs.sizes(at), number, level, bool(parts))
+        if not metas:
             self._fs.delete(at)
-            return None
-        return FileMeta(level, number, self._fs.size(at), r["n"], bytes(r["lo"]["key"]).hex(), bytes(r["hi"]["key"]).hex(), r["a"], r["b"], -r["lo"]["s"], -r["hi"]["s"], name)
+        return metas
+
+    def _metas(self, rows: DataFrame, name: str, sizes: dict[str, int], number: int, level: int, each: bool) -> list[FileMeta]:
+        """What a manifest says of a folder of files, as one file or file by file."""
+        own = self.options.sort_key is not None
+        file = F.element_at(F.split(F.input_file_name(), "/"), -1) if each else F.lit("")
+        lo, hi = (f(F.struct("_o", "key", (F.col("seq") * -1).alias("s"))).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi")))
+        per = rows.withColumns({"_o": self._order(), "_file": file}).groupBy("_file").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"), lo, hi)
+        out = []
+        for k, r in enumerate(sorted(per.collect(), key=lambda r: bytes(r["lo"]["_o"]))):  # a row for each file
+            path = f"{name}/{r['_file']}" if each else name
+            size = sizes[r["_file"]] if each else sum(sizes.values())
+            ends = [bytes(r[x]["_o"]).hex() if own else "" for x in ("lo", "hi")]
+            out.append(FileMeta(level, number + k, size, r["n"], bytes(r["lo"]["key"]).hex(), bytes(r["hi"]["key"]).hex(), r["a"], r["b"], -r["lo"]["s"], -r["hi"]["s"], path, *ends))
+        return out
 
     # Reading
 
@@ -306,11 +412,17 @@ class KVStore:
             return self.spark.createDataFrame([], OPS)
         return self.spark.read.schema(OPS).parquet(*(f"{self.path}/segments/{f.path}" for f in files))
 
+    def _ordered(self, keys: list[bytes | None]) -> list[bytes | None]:
+        """The keys as the store orders them."""
+        if self.options.sort_key is None or not any(k is not None for k in keys):
+            return keys
+        row = self.spark.range(1).select(*(self.options.sort_key(F.lit(None if k is None else bytearray(k)).cast("binary")).alias(f"k{n}") for n, k in enumerate(keys))).first()
+        return [None if k is None else bytes(row[f"k{n}"]) for n, k in enumerate(keys)]
+
     def _may_hold(self, lo: bytes | None, hi: bytes | None) -> list[FileMeta]:
-        """Files whose key range meets [lo, hi]; with another order, all files."""
-        if self.options.sort_key is not None:
-            return self.version.files
-        return [f for f in self.version.files if (hi is None or bytes.fromhex(f.smallest) <= hi) and (lo is None or bytes.fromhex(f.largest) >= lo)]
+        """Files whose key range meets [lo, hi]."""
+        lo, hi = self._ordered([lo, hi])
+        return [f for f in self.version.files if f.meets(lo, hi)]
 
     def _at(self, snapshot: int | None) -> int:
         return self.version.last_seq if snapshot is None else snapshot
@@ -335,7 +447,11 @@ class KVStore:
         return value
 
     def multi_get(self, keys: DataFrame, snapshot: int | None = None) -> DataFrame:
-        return visible.multi_get(self.ops(), keys, self._at(snapshot))
+        """Each key with its value; only files that meet the keys' range are read."""
+        order = F.struct(self._order().alias("o"), "key")
+        lo, hi = keys.where("key is not null").select("key").agg(F.min(order), F.max(order)).first()
+        files = self._may_hold(bytes(lo["key"]), bytes(hi["key"])) if lo else []
+        return visible.multi_get(self._read_files(files), keys, self._at(snapshot))
 
     def scan(self, start: bytes | None = None, limit_key: bytes | None = None, reverse: bool = False, limit: int | None = None, snapshot: int | None = None) -> DataFrame:
         rows = self._read_files(self._may_hold(start, limit_key)).withColumn("_order", self._order())
@@ -385,15 +501,15 @@ class KVStore:
             return False
         here = [f for f in self.version.files if f.level == level]
         if level:
-            here.sort(key=lambda f: f.smallest)
-            pointer = self.version.pointers.get(str(level), "")
-            here = [next((f for f in here if f.largest > pointer), here[0])]
+            here.sort(key=lambda f: f.range)
+            pointer = bytes.fromhex(self.version.pointers.get(str(level), ""))
+            here = [next((f for f in here if f.range[1] > pointer), here[0])]
         inputs = self._closure(here, upto=level + 1)
         if inputs == here and len(here) == 1 and level:
             moved = replace(here[0], level=level + 1)  # nothing below: metadata alone
-            self._commit(replace(self.version, files=[moved if f is here[0] else f for f in self.version.files], pointers={**self.version.pointers, str(level): moved.largest}))
+            self._commit(replace(self.version, files=[moved if f is here[0] else f for f in self.version.files], pointers={**self.version.pointers, str(level): moved.range[1].hex()}))
         else:
-            self._merge(inputs, level + 1, {str(level): max(f.largest for f in here)})
+            self._merge(inputs, level + 1, {str(level): max(f.range[1] for f in here).hex()})
         return True
 
     def _scores(self) -> dict[int, float]:
@@ -408,32 +524,40 @@ class KVStore:
         """These files and all that overlap them, transitively (up to a level)."""
         took = list(files)
         while True:
-            lo, hi = min((f.smallest for f in took), default=""), max((f.largest for f in took), default="")
-            more = [f for f in self.version.files if f not in took and (upto is None or f.level <= upto) and f.smallest <= hi and f.largest >= lo]
-            if not more or not took:
+            if not took:
+                return took
+            lo, hi = min(f.range[0] for f in took), max(f.range[1] for f in took)
+            more = [f for f in self.version.files if f not in took and (upto is None or f.level <= upto) and f.meets(lo, hi)]
+            if not more:
                 return took
             took += more
 
     def _merge(self, inputs: list[FileMeta], level: int, pointers: dict | None = None) -> None:
-        lo, hi = min(f.smallest for f in inputs), max(f.largest for f in inputs)
+        """The inputs as files of disjoint key ranges of about ``max_file_size`` bytes, and
+        so many that each meets about ten such files of the level below at most."""
+        lo, hi = min(f.range[0] for f in inputs), max(f.range[1] for f in inputs)
         rest = [f for f in self.version.files if f not in inputs]
-        deeper = [f for f in rest if f.smallest <= hi and f.largest >= lo]
-        below = self.spark.createDataFrame([(bytearray.fromhex(f.smallest), bytearray.fromhex(f.largest)) for f in deeper], "lo binary, hi binary") if deeper else None
-        kept = compaction.retain(self._read_files(inputs), self.smallest_snapshot(), below)
+        deeper = [f for f in rest if f.meets(lo, hi)]
+        below = self.spark.createDataFrame([tuple(map(bytearray, f.range)) for f in deeper], "lo binary, hi binary") if deeper else None
+        order = None if self.options.sort_key is None else self._order()
+        kept = compaction.retain(self._read_files(inputs), self.smallest_snapshot(), below, order, keep_tombstones=bool(self.version.streams))
+        read, most = sum(f.file_size for f in inputs), self.options.max_file_size
+        under = sum(f.file_size for f in deeper if f.level == level + 1)
         number = self.version.next_file
-        meta = self._segment(kept, number, level)
-        read, wrote = sum(f.file_size for f in inputs), meta.file_size if meta else 0
+        metas = self._segment(kept, number, level, max(1, -(-read // most), -(-under // (10 * most))))
+        wrote = sum(m.file_size for m in metas)
         old = self.version.stats.get(str(level), [0, 0, 0])
         stats = {**self.version.stats, str(level): [old[0] + 1, old[1] + read, old[2] + wrote]}
-        self._commit(replace(self.version, next_file=number + 1, files=rest + ([meta] if meta else []), stats=stats, pointers={**self.version.pointers, **(pointers or {})}))
-        log.info("compacted %d files to level %d: %d of %d bytes", len(inputs), level, wrote, read)
+        self._commit(replace(self.version, next_file=number + max(1, len(metas)), files=rest + metas, stats=stats, pointers={**self.version.pointers, **(pointers or {})}))
+        log.info("compacted %d files to %d of level %d: %d of %d bytes", len(inputs), len(metas), level, wrote, read)
+        self.remove_obsolete()
 
     def remove_obsolete(self) -> list[str]:
         """Deletes segments that none of the last ``keep_versions`` versions names, and
         older manifests."""
         numbers = self._numbers(self._fs, self.path)
         keep = numbers[-max(1, self.options.keep_versions) :]
-        live = {f.path for n in keep for f in self._read(self._fs, self.path, n).files}
+        live = {f.path.partition("/")[0] for n in keep for f in self._read(self._fs, self.path, n).files}
         gone = [n for n in self._fs.names(f"{self.path}/segments") if n not in live]
         for n in gone:
             self._fs.delete(f"{self.path}/segments/{n}")
@@ -476,12 +600,14 @@ class KVStore:
         out = []
         for a, b in ranges:
             total = 0
+            x, y = self._ordered([a, b])
             for f in self._may_hold(a, b):
-                lo, hi = bytes.fromhex(f.smallest), bytes.fromhex(f.largest)
-                if a <= lo and hi < b:
+                lo, hi = f.range
+                if x <= lo and hi < y:
                     total += f.file_size
                 else:
-                    inside = self._read_files([f]).where((F.col("key") >= F.lit(bytearray(a))) & (F.col("key") < F.lit(bytearray(b)))).count()
+                    order = self._order()
+                    inside = self._read_files([f]).where((order >= F.lit(bytearray(x))) & (order < F.lit(bytearray(y)))).count()
                     total += f.file_size * inside // f.num_entries
             out.append(total)
         return out
@@ -533,33 +659,45 @@ class Cursor:
 def destroy(spark: SparkSession, path: str) -> None:
     """Deletes a store; no store is no error, a store that is open is one."""
     fs = Files(spark, path)
-    if fs.exists(f"{path}/LOCK"):
+    if fs.exists(f"{path}/LOCK") and not Lease.expired(fs, f"{path}/LOCK"):
         raise StoreIOError(f"lock {path}/LOCK", "already held")
     fs.delete(path)
 
 
 def repair(spark: SparkSession, path: str, options: Options | None = None) -> list[str]:
-    """A new version from the segments alone: every readable one goes to level 0, the
-    others and the old manifests to ``lost/``.  Returns the names in ``lost/``."""
+    """A new version from segments and logs alone: every readable segment goes to level 0,
+    the ops of each readable log (``<path>/logs/N.log``) become one, and the logs, what is
+    unreadable and the old manifests go to ``lost/``.  Returns the names in ``lost/``."""
+    from .sources.wal import read_log_files
+
     options = (options or Options()).clipped()
     root, fs = path.rstrip("/"), Files(spark, path)
     fs.mkdirs(f"{root}/lost")
     fs.mkdirs(f"{root}/manifest")
+    fs.mkdirs(f"{root}/segments")
     for n in fs.names(f"{root}/manifest"):
         fs.rename(f"{root}/manifest/{n}", f"{root}/lost/{n}")
     fs.delete(f"{root}/LOCK")
-    files, top = [], 0
-    for n in fs.names(f"{root}/segments"):
-        number = int(n[:6]) if n[:6].isdigit() else 0
-        top = max(top, number)
+    db = KVStore(spark, root, options, Version(comparator=options.comparator), fs)
+    number_of = lambda n: int(m[0]) if (m := re.match(r"[0-9]+", n)) else 0
+    names, logs = fs.names(f"{root}/segments"), fs.names(f"{root}/logs")
+    top, files = max(map(number_of, names + logs), default=0), []
+    for n in names:
+        at = f"{root}/segments/{n}"
         try:
-            rows = spark.read.parquet(f"{root}/segments/{n}")
-            lo, hi = (f(F.struct("key", (F.col("seq") * -1).alias("s"))).alias(x) for f, x in ((F.min, "lo"), (F.max, "hi")))
-            r = rows.agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"), F.sum(F.length("value")), lo, hi).first()
-            files.append(FileMeta(0, number, fs.size(f"{root}/segments/{n}"), r["n"], bytes(r["lo"]["key"]).hex(), bytes(r["hi"]["key"]).hex(), r["a"], r["b"], -r["lo"]["s"], -r["hi"]["s"], n))
+            rows = spark.read.parquet(at)
+            rows.agg(F.sum(F.length("value"))).collect()  # reads every page
+            files += db._metas(rows.select(*OPS.names), n, fs.sizes(at), number_of(n), 0, False)
         except Exception as e:
             log.warning("segment %s goes to lost/: %s", n, e)
-            fs.rename(f"{root}/segments/{n}", f"{root}/lost/{n}")
+            fs.rename(at, f"{root}/lost/{n}")
+    for n in logs:
+        try:
+            top += 1
+            files += db._segment(read_log_files(spark, f"{root}/logs/{n}"), top, 0)
+        except Exception as e:
+            log.warning("log %s is unreadable: %s", n, e)
+        fs.rename(f"{root}/logs/{n}", f"{root}/lost/{n}")
     version = Version(1, options.comparator, max((f.max_seq for f in files), default=0), top + 1, files)
     fs.create(f"{root}/manifest/{1:020d}.json", json.dumps(asdict(version)))
     return fs.names(f"{root}/lost")

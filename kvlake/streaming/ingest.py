@@ -19,13 +19,20 @@ def ops_stream(spark: SparkSession, path: str, files_per_trigger: int | None = N
 
 
 def into_store(stream: DataFrame, db: KVStore, checkpoint: str):
-    """Appends every micro-batch as one atomic segment.  A batch that is delivered
-    again after a failure has sequences that the store already holds, and is skipped."""
+    """Appends every micro-batch as one atomic segment.  The number of the batch is part
+    of the commit, so a batch that is delivered again after a failure is skipped.  Ops may
+    arrive in any order of sequences; one whose sequence the store holds already, as by a
+    second stream over the same files, is not added twice."""
 
     def add(batch: DataFrame, number: int) -> None:
-        fresh = batch.where(F.col("seq") > db.version.last_seq)
-        if not fresh.isEmpty():
-            db.append_ops(fresh)
+        if number <= db.version.streams.get(checkpoint, -1):
+            return
+        last = db.version.last_seq
+        low = batch.agg(F.min("seq")).first()[0]
+        if low is not None and low <= last:  # only files with such sequences can hold them
+            held = [f for f in db.version.files if f.max_seq >= low]
+            batch = batch.join(db._read_files(held).select("seq"), "seq", "left_anti")
+        db.append_ops(batch, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 

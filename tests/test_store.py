@@ -1,12 +1,14 @@
 """Store scenarios, and a model test against a dict at every snapshot."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from kvlake.model import InvalidArgument, NotFound, NotSupported, StoreIOError
 from kvlake.sources.batch import WriteBatch
+from kvlake.sources.wal import LogWriter
 from kvlake.store import KVStore, destroy, repair
 
 
@@ -150,10 +152,13 @@ def test_bulk_and_properties(spark, tmp_path):
             db.bulk_delete(rows.limit(10))
         assert db.state().count() == 990
         assert db.property("kvlake.num-files-at-level0") == "5" and db.property("nothing") is None and db.property("num-files-at-level9") is None
+        segments = tmp_path / "db/segments"
+        assert len(list(segments.iterdir())) == 5
         assert db.maybe_compact() and db.property("num-files-at-level0") == "0"
+        assert len(list(segments.iterdir())) == 1  # a compaction deletes what no kept version names
         assert "--- level 1 ---" in db.property("sstables") and "Compactions" in db.property("stats")
         assert db.property("approximate-memory-usage").isdigit()
-        assert len(db.remove_obsolete()) == 5 and db.state().count() == 990
+        assert db.remove_obsolete() == [] and db.state().count() == 990
         assert db.ops().count() == 990  # nothing lies below, so tombstones went too
 
 
@@ -190,3 +195,94 @@ def test_key_predicates_reach_the_scan(spark, tmp_path):
         assert "EqualTo(key" in plan
         plan = db.scan(limit=5)._jdf.queryExecution().executedPlan().toString()
         assert "TakeOrderedAndProject" in plan
+
+
+def test_compaction_cuts_its_output(spark, tmp_path):
+    """Files of about max_file_size with disjoint ranges; the next compaction takes one of
+    them and what it meets, not the whole level."""
+    with open_(spark, tmp_path / "db", max_file_size=1 << 20) as db:
+        rows = spark.range(6000).select(F.lpad((F.col("id") * 7919 % 6000).cast("string"), 8, "0").cast("binary").alias("key"), F.unhex(F.sha2(F.col("id").cast("string"), 512)).alias("h"))
+        rows = rows.select("key", F.concat(*(F.unhex(F.sha2(F.concat("h", F.lit(bytearray([k]))), 512)) for k in range(16))).alias("value"))
+        want = {(bytes(r.key), bytes(r.value)) for r in rows.collect()}
+        db.bulk_put(rows)
+        db.compact()
+        files = sorted(db.version.files, key=lambda f: f.smallest)
+        assert len(files) >= 5 and len({f.file_no for f in files}) == len(files) and {f.level for f in files} == {1}
+        assert all(a.largest < b.smallest for a, b in zip(files, files[1:])) and all(f.file_size < 2 << 20 for f in files)
+        assert sum(f.num_entries for f in files) == 6000
+        hit = files[2]
+        key = bytes.fromhex(hit.smallest)
+        assert db.get(key) is not None and len(db._may_hold(key, key)) == 1
+        for f in files:
+            f.file_size *= 3  # the level is too large now
+        assert db.maybe_compact()
+        assert sum(f.level == 2 for f in db.version.files) == 1 and len(db.version.files) == len(files)
+        db.put(key, b"new")
+        db.compact(key, key)
+        untouched = [f.path for f in files if f not in (hit,)]
+        assert sum(f.path in untouched for f in db.version.files) == len(files) - 1
+        got = {(bytes(r.key), bytes(r.value)) for r in db.state().collect()}
+        assert got == {(k, b"new" if k == key else v) for k, v in want}
+
+
+def test_bulk_in_order(spark, tmp_path):
+    with open_(spark, tmp_path / "db") as db:
+        rows = [(k, 1 if k % 3 else 0, bytearray(b"k%d" % (k % 5)), bytearray(b"v%d" % k)) for k in range(500)]
+        df = spark.createDataFrame(rows, "ord long, kind int, key binary, value binary").repartition(7)
+        db.bulk_write(df)
+        want = {}
+        for _, kind, key, value in rows:
+            want.pop(bytes(key), None)
+            if kind:
+                want[bytes(key)] = bytes(value)
+        assert {bytes(r.key): bytes(r.value) for r in db.state().collect()} == want
+        db.bulk_put(df.select("key", "value", "ord"))
+        assert {bytes(r.key): bytes(r.value) for r in db.state().collect()} == {bytes(k): bytes(v) for _, _, k, v in rows}
+
+
+def test_lease(spark, tmp_path):
+    path = str(tmp_path / "db")
+    db = open_(spark, path, lease_seconds=2.0)
+    db.put(b"a", b"1")
+    time.sleep(3)  # it is renewed while its process lives
+    with pytest.raises(StoreIOError):
+        KVStore.open(spark, path)
+    db._lease._stop.set()  # as after a crash
+    time.sleep(3)
+    with KVStore.open(spark, path) as other:
+        assert other.get(b"a") == b"1"
+        with pytest.raises(StoreIOError):
+            db.put(b"a", b"2")  # the old owner has lost its lease
+        db.close()  # and leaves that of the new one alone
+        other.put(b"a", b"3")
+        assert other.get(b"a") == b"3"
+
+
+def test_repair_from_logs(spark, tmp_path):
+    """A log of one batch from sequence 10 on; the log goes to lost/."""
+    batch = WriteBatch(seq=10).put(b"alpha", b"one").put(b"beta", b"two").delete(b"beta")
+    log = LogWriter()
+    log.add(batch.encode())
+    logs = tmp_path / "db/logs"
+    logs.mkdir(parents=True)
+    (logs / "000005.log").write_bytes(log.getvalue())
+    assert "000005.log" in repair(spark, str(tmp_path / "db"))
+    with KVStore.open(spark, str(tmp_path / "db")) as db:
+        assert (db.get(b"alpha"), db.get(b"beta"), db.version.last_seq, db.version.next_file) == (b"one", None, 12, 7)
+        assert not list(logs.iterdir())
+
+
+def test_custom_order_in_compaction(spark, tmp_path):
+    """Keys ordered by length: what lies below is found in that order too."""
+    order = lambda c: F.concat(F.unhex(F.lpad(F.hex(F.length(c).cast("long")), 8, "0")), c)
+    with open_(spark, tmp_path / "db", comparator="by-length", sort_key=order) as db:
+        db.write(WriteBatch().put(b"z", b"1").put(b"aaaa", b"2").put(b"mm", b"3"))
+        db.compact()
+        for f in db.version.files:
+            f.level = 3
+        db.write(WriteBatch().delete(b"mm").put(b"b", b"4"))
+        db._merge([f for f in db.version.files if f.level == 0], 1)
+        assert db.get(b"mm") is None and db.get(b"aaaa") == b"2"  # the tombstone is still needed
+        db.compact()
+        assert [bytes(r.key) for r in db.scan().collect()] == [b"b", b"z", b"aaaa"] and db.ops().count() == 3
+        assert db.approximate_sizes([(b"a", b"zz")])[0] > 0

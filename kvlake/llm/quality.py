@@ -53,9 +53,8 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
         t = Tokens(d, o, "space")
         h = t.hashes(False)
         out["n_words"][a:b] = t.counts()
-        head = np.zeros(len(d) + 1, np.int64)
-        np.cumsum((d & 0xC0) != 0x80, out=head[1:])
-        out["word_chars"][a:b] = per_doc(t, head[t.end] - head[t.start])
+        # bytes of words, less those that continue a character; no white space does
+        out["word_chars"][a:b] = per_doc(t, t.end - t.start) - bytes_per_doc(o, (d & 0xC0) == 0x80)
         out["n_symbols"][a:b] = bytes_per_doc(o, symbol[d])
         out["n_upper"][a:b] = bytes_per_doc(o, (d >= 65) & (d <= 90))
         out["n_digits"][a:b] = bytes_per_doc(o, (d >= 48) & (d <= 57))
@@ -197,25 +196,26 @@ class IsolationForest:
         return np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(value), depth
 
     @property
-    def plain(self) -> tuple[float, list[tuple]]:
-        """The forest as numbers and arrays alone; what is broadcast."""
-        return max(self.norm, 1e-9), self.trees
+    def plain(self) -> tuple:
+        """The forest as numbers and arrays alone, its trees one after the other; what is
+        broadcast.  A leaf leads to itself."""
+        at = np.cumsum([0] + [len(t[0]) for t in self.trees])
+        feature, cut, left, right, value = (np.concatenate([t[k] + (at[n] if k in (2, 3) else 0) for n, t in enumerate(self.trees)]) for k in range(5))
+        leaf = feature < 0
+        return max(self.norm, 1e-9), max(t[5] for t in self.trees), at[:-1], np.where(leaf, 0, feature), np.where(leaf, np.inf, cut), np.where(leaf, np.arange(len(leaf)), left), right, value
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return path_scores(self.plain, x)
 
 
-def path_scores(forest: tuple[float, list[tuple]], x: np.ndarray) -> np.ndarray:
-    norm, trees = forest
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for feature, cut, left, right, value, depth in trees:
-        at = np.zeros(len(x), np.int64)
-        for _ in range(depth):
-            f = feature[at]
-            at = np.where(f < 0, at, np.where(x[rows, np.maximum(f, 0)] <= cut[at], left[at], right[at]))
-        total += value[at]
-    return 2.0 ** (-total / len(trees) / norm)
+def path_scores(forest: tuple, x: np.ndarray) -> np.ndarray:
+    """All rows go down all trees together, a level at a time."""
+    norm, depth, roots, feature, cut, left, right, value = forest
+    row = (np.arange(len(x)) * x.shape[1])[:, None]
+    at, cells = np.repeat(roots[None, :], len(x), axis=0), np.ascontiguousarray(x).ravel()
+    for _ in range(depth):
+        at = np.where(cells[row + feature[at]] <= cut[at], left[at], right[at])
+    return 2.0 ** (-value[at].mean(axis=1) / norm)
 
 
 def _mean_path(n: int) -> float:

@@ -170,6 +170,4 @@ def per_doc(tokens: Tokens, values: np.ndarray) -> np.ndarray:
 
 def bytes_per_doc(offsets: np.ndarray, flags: np.ndarray) -> np.ndarray:
     """Number of set flags (one a byte) in each text."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(flags), offsets))

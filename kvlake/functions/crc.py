@@ -22,9 +22,32 @@ def _table() -> list[int]:
 TABLE = _table()
 
 
+_SPAN = 4096
+_wide: list[np.ndarray] = []
+
+
+def _shifted() -> np.ndarray:
+    """Row k: what each byte adds to a CRC when k bytes follow it.  The CRC is linear, so
+    those of all bytes of a span are looked up at once and their XOR is its own."""
+    if not _wide:
+        out = np.empty((_SPAN, 256), np.uint32)
+        out[0] = TABLE
+        for k in range(1, _SPAN):
+            out[k] = out[0][out[k - 1] & 0xFF] ^ out[k - 1] >> np.uint32(8)
+        _wide.append(out)
+    return _wide[0]
+
+
 def crc32c(data: bytes, crc: int = 0) -> int:
     crc ^= 0xFFFFFFFF
-    for b in data:
+    at = 0
+    while len(data) - at >= 64:  # the CRC so far goes into the first four bytes
+        span = np.frombuffer(data, np.uint8, min(_SPAN, len(data) - at), at).copy()
+        span[:4] ^= np.frombuffer(crc.to_bytes(4, "little"), np.uint8)
+        n = len(span)
+        crc = int(np.bitwise_xor.reduce(_shifted()[np.arange(n - 1, -1, -1), span]))
+        at += n
+    for b in data[at:]:
         crc = TABLE[(crc ^ b) & 0xFF] ^ crc >> 8
     return crc ^ 0xFFFFFFFF
 

@@ -115,6 +115,20 @@ def lehmer(seed: Column, steps: Column) -> Column:
     return F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), steps), start, lambda x, _: x * 16807 % 2147483647)).otherwise(start)
 
 
+def uniform(number: Column, n: int) -> Column:
+    """A number of ``lehmer`` below n."""
+    return number % n
+
+
+def one_in(number: Column, n: int) -> Column:
+    return number % n == 0
+
+
+def skewed(number: Column, following: Column, max_log: int) -> Column:
+    """Small numbers more often: one bit length of ``max_log`` or less, then a number of it."""
+    return following % F.pow(F.lit(2), number % (max_log + 1)).cast("long")
+
+
 def log_bucket(value: Column) -> Column:
     """Histogram bucket, four for each doubling."""
     return F.when(value <= 1, 0).otherwise(F.least(F.lit(127), F.ceil(F.log2(value) * 4))).cast("long")

@@ -49,6 +49,11 @@ class StoreIOError(KvError):
     code = "IOError"
 
 
+def status(code: str, message: Column, detail: Column) -> Column:
+    """The text of an error, as ``str()`` of its exception gives it."""
+    return F.concat_ws(": ", F.lit(code), F.nullif(message, F.lit("")), F.nullif(detail, F.lit("")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

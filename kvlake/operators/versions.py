@@ -25,6 +25,12 @@ def obsolete(directory: DataFrame, live: DataFrame) -> DataFrame:
     return directory.join(live, "file_no", "left_anti").select("file_no")
 
 
+def newest_first(files: DataFrame) -> DataFrame:
+    """The order in which files of level 0 are asked; the level holds a dozen by design."""
+    order = Window.partitionBy("level").orderBy(F.desc("file_no"))
+    return files.where("level = 0").select("level", "file_no", F.row_number().over(order).cast("long").alias("place")).select("file_no", "place")
+
+
 def level_summary(files: DataFrame) -> DataFrame:
     return files.groupBy("level").agg(F.count("*").alias("files"), F.sum("num_entries").alias("entries"), F.sum("file_size").alias("bytes"))
 

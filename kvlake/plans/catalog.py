@@ -378,6 +378,11 @@ def repair_metadata(spark, d):
     return V.repair_metadata(segments(spark, d))
 
 
+@query("SELECT file_no, row_number() OVER (ORDER BY file_no DESC) AS place FROM files WHERE level = 0")
+def newest_first(spark, d):
+    return V.newest_first(files(spark, d))
+
+
 @query("SELECT level, count(*) AS n_files FROM files GROUP BY level")
 def prop_num_files(spark, d):
     return files(spark, d).groupBy("level").agg(F.count("*").alias("n_files"))
@@ -611,9 +616,13 @@ def internal_key_parse(spark, d):
 
 
 @query("""WITH RECURSIVE r AS (SELECT n_nationkey AS seed, 0 AS i, CAST(CASE WHEN n_nationkey = 0 THEN 1 ELSE n_nationkey END AS BIGINT) AS x FROM nation
-  UNION ALL SELECT seed, i + 1, x * 16807 % 2147483647 FROM r WHERE i < 20) SELECT seed, x AS number FROM r WHERE i = 20""")
+  UNION ALL SELECT seed, i + 1, x * 16807 % 2147483647 FROM r WHERE i < 21)
+  SELECT a.seed, a.x AS number, a.x % 100 AS below_100, a.x % 10 = 0 AS one_in_10, b.x % CAST(pow(2, a.x % 11) AS BIGINT) AS skewed_10
+  FROM r a JOIN r b ON a.seed = b.seed AND a.i = 20 AND b.i = 21""")
 def lehmer_random(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("seed"), N.lehmer(F.col("n_nationkey"), F.lit(20)).alias("number"))
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("seed"), *(N.lehmer(F.col("n_nationkey"), F.lit(k)).alias(n) for k, n in ((20, "number"), (21, "following"))))
+    x, y = F.col("number"), F.col("following")
+    return rows.select("seed", "number", N.uniform(x, 100).alias("below_100"), N.one_in(x, 10).alias("one_in_10"), N.skewed(x, y, 10).alias("skewed_10"))
 
 
 @query("""SELECT file_no, seq, '''' || key || ''' @ ' || seq || ' : ' || CASE kind WHEN 1 THEN 'val' ELSE 'del' END || ' => ''' || coalesce(value, '') || '''' AS line FROM seg""")
@@ -666,3 +675,75 @@ def stream_state(spark, d):
     log = binary(ops(spark, d), "key", "value")
     out = replay(spark, log, scratch(spark, "stream"))
     return out.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").cast("string").alias("key"), "seq", F.col("kind").cast("int").alias("kind"), F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT key, seq, kind, value FROM ops")
+def table_round_trip(spark, d):
+    """The whole op log as sorted tables (prefix-compressed blocks, index, filters, footer),
+    written to the shared folder and read back block by block."""
+    from ..sources.sst import decode_tables, encode_tables
+    from ..store import scratch
+
+    path = scratch(spark, "tables")
+    encode_tables(binary(ops(spark, d), "key", "value"), compression="snappy", bits_per_key=10).write.parquet(path)
+    return _text(decode_tables(spark.read.parquet(path), paranoid=True))
+
+
+@query("SELECT key, seq, kind, value FROM ops")
+def batch_round_trip(spark, d):
+    """The op log as encoded batches of a thousand, taken apart again."""
+    from ..sources.batch import batch_rows, encode_batches
+
+    log = binary(ops(spark, d), "key", "value").withColumn("batch", F.floor((F.col("seq") - 1) / 1000))
+    return _text(batch_rows(encode_batches(log, "batch", "seq")))
+
+
+@query("SELECT level, file_no, file_size, lo, hi FROM files")
+def edit_round_trip(spark, d):
+    """The files of each level as one version edit, encoded, decoded and folded."""
+    from ..sources.edits import decode_files, encode_files
+
+    f = files(spark, d).select("level", "file_no", "file_size", F.col("lo").cast("binary").alias("lo"), F.col("hi").cast("binary").alias("hi"))
+    return decode_files(encode_files(f)).withColumns({c: F.col(c).cast("string") for c in ("lo", "hi")})
+
+
+@query("""SELECT key, value FROM (SELECT ops.*, row_number() OVER (PARTITION BY key ORDER BY seq DESC, kind DESC) AS rn
+  FROM ops, n WHERE seq <= m // 2) WHERE rn = 1 AND kind = 1""")
+def store_snapshot(spark, d):
+    """The state at a snapshot that was taken half way, after more ops and a compaction."""
+    from ..store import KVStore, scratch
+
+    log = binary(ops(spark, d), "key", "value")
+    half = last_seq(log) // 2
+    with KVStore.open(spark, scratch(spark, "store"), create_if_missing=True) as db:
+        db.append_ops(log.where(F.col("seq") <= half))
+        seen = db.snapshot()
+        db.append_ops(log.where(F.col("seq") > half))
+        db.compact()
+        return db.state(seen).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query("""SELECT l.key, v.value, v.key IS NOT NULL AS found
+  FROM (SELECT DISTINCT printf('user%08d', c_custkey) AS key FROM customer) l LEFT JOIN vis v ON l.key = v.key""")
+def store_multi_get(spark, d):
+    """Lookups in a store of bulk batches: the ops arrive shuffled, their order beside them."""
+    from ..store import KVStore, scratch
+
+    log = binary(ops(spark, d), "key", "value").withColumn("ord", F.col("seq"))
+    with KVStore.open(spark, scratch(spark, "store"), create_if_missing=True) as db:
+        db.bulk_write(log.repartition(F.hash("value")))
+        db.compact()
+        out = db.multi_get(binary(customer_keys(spark, d), "key"))
+        return out.withColumns({c: F.col(c).cast("string") for c in ("key", "value")})
+
+
+@query("SELECT level, file_no, CASE WHEN level = 0 THEN 'NotFound: ' || file_no || ': gone' ELSE 'NotFound: ' || file_no END AS status FROM files", name="status_text")
+def status_text(spark, d):
+    """Errors as texts: code, message and, if there is one, detail."""
+    from ..model import status
+
+    return files(spark, d).select("level", "file_no", status("NotFound", F.col("file_no").cast("string"), F.when(F.col("level") == 0, F.lit("gone"))).alias("status"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import varint_length
-from ..model import DELETE, PUT, Corruption
+from ..model import DELETE, OPS, PUT, Corruption
 from . import codec as C
 
 HEADER = 12
@@ -73,3 +75,30 @@ def encoded_size(ops: DataFrame) -> DataFrame:
     part = lambda c: varint_length(F.length(c).cast("long")) + F.length(c)
     one = 1 + part("key") + F.when(F.col("kind") == PUT, part("value")).otherwise(0)
     return ops.agg((F.lit(HEADER) + F.coalesce(F.sum(one), F.lit(0))).cast("long").alias("bytes"))
+
+
+def encode_batches(ops: DataFrame, by: str, order: str) -> DataFrame:
+    """(``by``, content): one encoded batch of the ops (seq, kind, key, value) of each value
+    of ``by``, in the order of ``order``; its first sequence is theirs."""
+
+    def run(key, rows):
+        rows = rows.sort_by(order)
+        b = WriteBatch(zip(*(rows[c].to_pylist() for c in ("kind", "key", "value"))), rows["seq"][0].as_py())
+        return pa.table({by: rows[by].slice(0, 1), "content": pa.array([b.encode()], pa.binary())})
+
+    kind = T.StructType([ops.schema[by], T.StructField("content", T.BinaryType())])
+    return ops.groupBy(by).applyInArrow(run, kind)
+
+
+def batch_rows(batches: DataFrame, content: str = "content") -> DataFrame:
+    """The ops of encoded batches as rows (seq, kind, key, value); a broken batch is an error."""
+
+    def run(tables):
+        for t in tables:
+            for raw in t.column(0):
+                b = WriteBatch.decode(raw.as_py())
+                kind, key, value = zip(*b.ops) if b.ops else ((), (), ())
+                seq = range(b.seq, b.seq + len(b.ops))
+                yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(kind, pa.int8()), pa.array(key, pa.binary()), pa.array(value, pa.binary())], names=OPS.names)
+
+    return batches.select(content).mapInArrow(run, OPS)

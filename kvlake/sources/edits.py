@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from ..model import Corruption
 from . import codec as C
 
@@ -84,3 +87,29 @@ def fold(edits: list[VersionEdit]) -> dict:
         last |= {n: getattr(e, n) for n in SCALARS if getattr(e, n) is not None}
         last.setdefault("pointers", {}).update(e.pointers)
     return {"files": live, **last}
+
+
+def encode_files(files: DataFrame) -> DataFrame:
+    """(level, content): an edit that adds the files (level, file_no, file_size, lo, hi) of
+    each level.  A level's metadata fits a task, as it fits the process that opens a store."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("file_no")
+        e = VersionEdit(added=list(zip(*(rows[c].to_pylist() for c in ("level", "file_no", "file_size", "lo", "hi")))))
+        return pa.table({"level": rows["level"].slice(0, 1), "content": pa.array([e.encode()], pa.binary())})
+
+    return files.groupBy("level").applyInArrow(run, "level long, content binary")
+
+
+def decode_files(edits: DataFrame) -> DataFrame:
+    """Files that each edit leaves."""
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                rows = [(level, number, *rest) for (level, number), rest in fold([VersionEdit.decode(raw.as_py())])["files"].items()]
+                cols = zip(*rows) if rows else ((), (), (), (), ())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["level", "file_no", "file_size", "lo", "hi"])
+
+    return edits.select("content").mapInArrow(run, "level long, file_no long, file_size long, lo binary, hi binary")

@@ -162,3 +162,35 @@ def test_data_sources(spark, tmp_path):
     rows = lambda kind: [(r.seq, r.kind, bytes(r.key), r.value and bytes(r.value)) for r in spark.read.format(kind).load(str(tmp_path)).collect()]
     assert rows("kvlake-log") == [(7, 1, b"a", b"1"), (8, 0, b"b", None)]
     assert rows("kvlake-table") == [(3, 1, b"c", b"3")]
+
+
+@settings(deadline=None)
+@given(st.dictionaries(st.binary(max_size=4), st.binary(max_size=9), max_size=50), st.integers(1, 5), st.lists(st.binary(max_size=5), max_size=9), st.sampled_from([1, 60, 4096]))
+def test_both_ways(rows, restart, targets, block_size):
+    """Blocks and tables from any place, upwards and downwards."""
+    order = sorted(rows.items())
+    b = sst.BlockBuilder(restart)
+    t = sst.TableBuilder(block_size, restart)
+    for k, v in order:
+        b.add(k, v)
+        t.add(k, v)
+    for x in (sst.Block(b.finish()), sst.Table(t.finish())):
+        assert list(x) == order and list(reversed(x)) == order[::-1]
+        for at in targets + list(rows):
+            assert list(x.from_(at)) == [e for e in order if e[0] >= at]
+            assert list(x.below(at)) == [e for e in order if e[0] < at][::-1]
+
+
+@given(st.binary(max_size=300), st.integers(0, 30))
+def test_crc_of_parts(data, times):
+    from kvlake.functions.crc import TABLE, crc32c
+
+    def plain(data):
+        crc = 0xFFFFFFFF
+        for x in data:
+            crc = TABLE[(crc ^ x) & 0xFF] ^ crc >> 8
+        return crc ^ 0xFFFFFFFF
+
+    data *= times
+    assert crc32c(data) == plain(data)
+    assert crc32c(data[99:], crc32c(data[:99])) == plain(data)

@@ -1,7 +1,9 @@
 """Workloads on a small store, streaming, and the ordered helpers."""
 
+import bisect
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kvlake.model import OPS
@@ -30,24 +32,42 @@ def test_stream_into_store_twice(spark, tmp_path):
         assert db.state().exceptAll(want).count() == 0 and db.state().count() == want.count()
 
 
-def test_ranges(spark):
+@pytest.mark.parametrize("n", [None, 2, 64, 300])
+def test_ranges(spark, n):
     rnd = random.Random(5)
     keys = sorted(rnd.sample(range(5000), 700))
     k = spark.createDataFrame([(f"{x:05d}", x) for x in keys], "key string, x int")
-    rows = ranges.global_index(k, "key").orderBy("key").collect()
+    rows = ranges.global_index(k, "key", n).orderBy("key").collect()
     assert [r.idx for r in rows] == list(range(700)) and [r.prev for r in rows] == [None, *(r.key for r in rows[:-1])]
     asked = [f"{rnd.randrange(5200):05d}" for _ in range(300)]
-    got = {r.t: r.found for r in ranges.lower_bound(spark.createDataFrame([(a,) for a in asked], "t string"), "t", k, "key").collect()}
+    got = {r.t: r.found for r in ranges.lower_bound(spark.createDataFrame([(a,) for a in asked], "t string"), "t", k, "key", ranges=n).collect()}
     assert got == {a: next((f"{x:05d}" for x in keys if f"{x:05d}" >= a), None) for a in asked}
     iv = sorted((a, a + rnd.randrange(400)) for a in rnd.sample(range(5000), 120))
-    i = spark.createDataFrame([(f"{a:05d}", f"{b:05d}", n) for n, (a, b) in enumerate(iv)], "lo string, hi string, n int")
-    got = sorted((r.x, r.n) for r in ranges.within(k, "key", i, "lo", "hi").collect())
-    assert got == sorted((x, n) for x in keys for n, (a, b) in enumerate(iv) if a <= x <= b)
+    i = spark.createDataFrame([(f"{a:05d}", f"{b:05d}", m) for m, (a, b) in enumerate(iv)], "lo string, hi string, n int")
+    got = sorted((r.x, r.n) for r in ranges.within(k, "key", i, "lo", "hi", ranges=n).collect())
+    assert got == sorted((x, m) for x in keys for m, (a, b) in enumerate(iv) if a <= x <= b)
     j = i.select(*(F.col(c).alias(c + "2") for c in ("lo", "hi", "n")))
-    got = sorted((r.n, r.n2) for r in ranges.overlapping(i, j, "lo", "hi", "lo2", "hi2", F.lit(True)).collect())
+    got = sorted((r.n, r.n2) for r in ranges.overlapping(i, j, "lo", "hi", "lo2", "hi2", F.lit(True), ranges=n).collect())
     assert got == sorted((p, q) for p, (a, b) in enumerate(iv) for q, (c, d) in enumerate(iv) if a <= d and c <= b)
 
 
+def test_range_of_many_points(spark):
+    points = [f"{k:06d}" for k in range(7, 9000, 3)]
+    keys = [f"{k:06d}" for k in range(0, 9100, 11)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = {r.k: r.r for r in df.select("k", ranges.range_of(F.col("k"), points).alias("r")).collect()}
+    assert got == {k: bisect.bisect_right(points, k) for k in keys}
+
+
+def test_ranges_follow_the_data(spark):
+    df = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("k"))
+    points = ranges.split_points(df, "k", rows=100)
+    assert 90 <= len(points) < 100
+    held = df.groupBy(ranges.range_of(F.col("k"), points).alias("r")).count().agg(F.max("count")).first()[0]
+    assert held < 400
+    assert ranges.split_points(df, "k") == []
+
+
 def test_retention_keeps_reads(spark):
     rnd = random.Random(3)
     rows = [(s, rnd.randrange(2), f"k{rnd.randrange(6)}", f"v{s}") for s in range(1, 120)]

@@ -73,3 +73,15 @@ def test_held_out_labels(spark):
     bad = np.sort([got[k] for k, q in lab.items() if q == 0 and got[k] is not None])
     auc = (1 - np.searchsorted(bad, good) / len(bad)).mean()
     assert auc > 0.75, auc
+
+
+def test_repeated_rows_count_as_often(spark):
+    rows = [(k, t) for k, t in enumerate(["a b c", "a c b", "b b a", "c a a"])] * 3 + [(9, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fold = {r.text: r._kv_fold for r in L._dealt(df, "doc_id", "text").collect()}
+    want = brute(rows, {0, 1}, fold)
+    got = L.cross_entropy_difference(df, spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")).collect()
+    assert len(got) == 13
+    for r in got:
+        n, target, whole = want[r.doc_id]
+        assert (r.n_tokens, r.target_loss, r.background_loss) == (n, pytest.approx(target), pytest.approx(whole))

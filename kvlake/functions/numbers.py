@@ -129,6 +129,11 @@ def skewed(number: Column, following: Column, max_log: int) -> Column:
     return following % F.pow(F.lit(2), number % (max_log + 1)).cast("long")
 
 
+def now_micros() -> Column:
+    """Microseconds since 1970, one value for the whole query."""
+    return F.unix_micros(F.current_timestamp())
+
+
 def log_bucket(value: Column) -> Column:
     """Histogram bucket, four for each doubling."""
     return F.when(value <= 1, 0).otherwise(F.least(F.lit(127), F.ceil(F.log2(value) * 4))).cast("long")

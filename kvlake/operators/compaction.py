@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import internal_key_parts
 from ..model import DELETE
 from .ranges import lower_bound, within
 
@@ -32,6 +33,15 @@ def retain(log: DataFrame, smallest_snapshot: int, deeper: DataFrame | None = No
     return kept.join(held, "key", "left").where(~dead | F.coalesce("_held", F.lit(False))).drop("_held")
 
 
+def retain_raw(log: DataFrame, smallest_snapshot: int, deeper: DataFrame | None = None) -> DataFrame:
+    """As ``retain``, on internal keys (internal, value): a key that cannot be parsed is kept
+    as it is, so that a compaction destroys no evidence of damage."""
+    parts = internal_key_parts(F.col("internal"))
+    rows = log.select("internal", "value", *(c.alias(n) for n, c in parts.items()))
+    good = retain(rows.where("valid").drop("valid"), smallest_snapshot, deeper).select("internal", "value")
+    return good.unionByName(rows.where("not valid").select("internal", "value"))
+
+
 def score(files: DataFrame) -> DataFrame:
     """Pressure of each level: files over 4 for level 0, bytes over budget below."""
     budget = F.lit(float(L1_BYTES)) * F.pow(F.lit(10.0), F.col("level") - 1)

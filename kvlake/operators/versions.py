@@ -25,6 +25,38 @@ def obsolete(directory: DataFrame, live: DataFrame) -> DataFrame:
     return directory.join(live, "file_no", "left_anti").select("file_no")
 
 
+def keep_files(names: DataFrame, live: DataFrame, log_number: int, previous_log: int, manifest: int) -> DataFrame:
+    """What stays of a directory (name, number, kind): live tables and those being written,
+    logs from the current one on and the previous one, the manifest in use and newer ones,
+    and what is one of a kind; names that are not ours stay too."""
+    held = live.select(F.col("file_no").alias("number"), F.lit(True).alias("_live")).distinct()
+    k, n = F.col("kind"), F.col("number")
+    stays = (
+        F.when(k == "log", (n >= log_number) | (n == previous_log)).when(k == "manifest", n >= manifest)
+        .when(k.isin("table", "temp"), F.coalesce("_live", F.lit(False))).otherwise(True)
+    )
+    return names.join(held, "number", "left").where(stays).select("name")
+
+
+def internal_range(entries: DataFrame) -> DataFrame:
+    """Smallest and largest internal key of each level: of equal user keys, the one with
+    the largest sequence comes first."""
+    lo, hi = F.struct("key", (-F.col("seq")).alias("s")), F.struct("key", (-F.col("seq")).alias("s"))
+    per = entries.groupBy("level").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    return per.select("level", F.col("lo.key").alias("smallest"), (-F.col("lo.s")).alias("smallest_seq"), F.col("hi.key").alias("largest"), (-F.col("hi.s")).alias("largest_seq"))
+
+
+def boundary_inputs(files: DataFrame) -> DataFrame:
+    """(file_no, next_file_no): files of one level of which the second begins with older
+    versions of the user key that the first ends with; who takes the first must take it.
+    Files have lo, lo_seq, hi and hi_seq."""
+    a = files.select("level", "file_no", F.col("hi").alias("key"), "hi_seq")
+    b = files.select("level", F.col("file_no").alias("next_file_no"), F.col("lo").alias("key"), "lo_seq")
+    first = F.row_number().over(Window.partitionBy("level", "file_no").orderBy(F.desc("lo_seq")))
+    pairs = a.join(b, ["level", "key"]).where((F.col("lo_seq") < F.col("hi_seq")) & (F.col("file_no") != F.col("next_file_no")))
+    return pairs.withColumn("_k", first).where("_k = 1").select("file_no", "next_file_no")
+
+
 def newest_first(files: DataFrame) -> DataFrame:
     """The order in which files of level 0 are asked; the level holds a dozen by design."""
     order = Window.partitionBy("level").orderBy(F.desc("file_no"))

@@ -228,6 +228,19 @@ def base_level_keys(spark, d):
     return V.base_level_keys(keys, files(spark, d).where("level >= 2"))
 
 
+@query("""SELECT key, seq, coalesce(kind, 2) AS kind FROM (SELECT ops.*, m * 6 // 10 AS ss,
+  lag(seq) OVER (PARTITION BY key ORDER BY seq DESC, kind DESC) AS prev FROM ops, n WHERE seq % 50 <> 0)
+  WHERE NOT coalesce(prev <= ss, false) AND NOT (kind = 0 AND seq <= ss) UNION ALL SELECT key, seq, 2 FROM ops WHERE seq % 50 = 0""")
+def compact_keeps_damage(spark, d):
+    """Every fiftieth internal key has a kind that is not known; these stay as they are."""
+    kind = F.when(F.col("seq") % 50 == 0, 2).otherwise(F.col("kind"))
+    log = ops(spark, d)
+    raw = log.select(K.internal_key(F.col("key").cast("binary"), F.col("seq"), kind).alias("internal"), "value")
+    n = F.length("internal")
+    out = C.retain_raw(raw, last_seq(log) * 6 // 10).select(F.substring("internal", F.lit(1), n - 8).cast("string").alias("key"), K.fixed_value(F.concat(F.substring("internal", n - 6, F.lit(7)), F.lit(bytearray(1))), F.lit(0), 8).alias("seq"), K.byte_at(F.col("internal"), n - 8).alias("kind"))
+    return out
+
+
 @query("""SELECT level, CAST(CASE WHEN level = 0 THEN count(*) / 4.0
   ELSE CAST(sum(file_size) AS DOUBLE) / (10485760.0 * pow(10, level - 1)) END AS DOUBLE) AS score FROM files GROUP BY level""")
 def compaction_score(spark, d):
@@ -378,6 +391,42 @@ def repair_metadata(spark, d):
     return V.repair_metadata(segments(spark, d))
 
 
+@query("""SELECT level, min_by(key, (key, -seq)) AS smallest, min_by(seq, (key, -seq)) AS smallest_seq, max_by(key, (key, -seq)) AS largest, max_by(seq, (key, -seq)) AS largest_seq
+  FROM seg GROUP BY level""")
+def internal_key_range(spark, d):
+    return V.internal_range(segments(spark, d))
+
+
+_PIECES = """SELECT level, file_no * 1000 + (rn - 1) // 7 AS file_no, key, seq FROM
+  (SELECT *, row_number() OVER (PARTITION BY file_no ORDER BY key, seq DESC) AS rn FROM seg WHERE level >= 1)"""
+
+
+@query(f"""{BASE}, pieces AS ({_PIECES}), p AS (SELECT level, file_no, min(key) AS lo, max_by(seq, (seq)) FILTER (key = a.a) AS lo_seq, max(key) AS hi, min(seq) FILTER (key = a.z) AS hi_seq
+   FROM (SELECT *, min(key) OVER w AS a, max(key) OVER w AS z FROM pieces WINDOW w AS (PARTITION BY level, file_no)) a GROUP BY level, file_no)
+ SELECT a.file_no, b.file_no AS next_file_no FROM p a JOIN p b ON a.level = b.level AND a.hi = b.lo AND b.lo_seq < a.hi_seq AND a.file_no <> b.file_no
+ QUALIFY row_number() OVER (PARTITION BY a.level, a.file_no ORDER BY b.lo_seq DESC) = 1""")
+def boundary_inputs(spark, d):
+    """Files of seven entries each: versions of a user key run on in the next file."""
+    from pyspark.sql import Window
+
+    rows = segments(spark, d).where("level >= 1").withColumn("rn", F.row_number().over(Window.partitionBy("file_no").orderBy("key", F.desc("seq"))))
+    ends = [f(F.struct("key", (-F.col("seq")).alias("s"))).alias(n) for f, n in ((F.min, "a"), (F.max, "z"))]
+    per = rows.groupBy("level", (F.col("file_no") * 1000 + F.floor((F.col("rn") - 1) / 7)).alias("file_no")).agg(*ends)
+    return V.boundary_inputs(per.select("level", "file_no", F.col("a.key").alias("lo"), (-F.col("a.s")).alias("lo_seq"), F.col("z.key").alias("hi"), (-F.col("z.s")).alias("hi_seq")))
+
+
+@query("""SELECT name FROM (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN printf('%06d.log', o_orderkey) WHEN 1 THEN printf('%06d.sst', o_orderkey)
+  WHEN 2 THEN printf('%06d.dbtmp', o_orderkey) WHEN 3 THEN printf('MANIFEST-%06d', o_orderkey) WHEN 4 THEN 'CURRENT' ELSE printf('%06d.other', o_orderkey) END AS name FROM orders)
+  WHERE CASE k % 6 WHEN 0 THEN k >= 600 OR k = 300 WHEN 3 THEN k >= 903 WHEN 1 THEN k IN (SELECT file_no FROM files) WHEN 2 THEN k IN (SELECT file_no FROM files) ELSE true END""")
+def keep_files(spark, d):
+    """A directory with one name for each order, against the live files."""
+    n = F.col("o_orderkey")
+    names = [N.file_name(n, "log"), N.file_name(n, "table"), N.file_name(n, "temp"), N.file_name(n, "manifest"), F.lit("CURRENT"), F.format_string("%06d.other", n)]
+    named = table(spark, d, "orders").select(F.element_at(F.array(*names), (n % 6 + 1).cast("int")).alias("name"))
+    number, kind = N.parse_file_name(F.col("name"))
+    return V.keep_files(named.select("name", number.alias("number"), kind.alias("kind")), files(spark, d), 600, 300, 903)
+
+
 @query("SELECT file_no, row_number() OVER (ORDER BY file_no DESC) AS place FROM files WHERE level = 0")
 def newest_first(spark, d):
     return V.newest_first(files(spark, d))

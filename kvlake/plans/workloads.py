@@ -6,6 +6,7 @@ atomic segment.  ``report`` prints one line for each, with microseconds an opera
 
 from __future__ import annotations
 
+import threading
 import time
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.visible import multi_seek
+from ..sources.batch import WriteBatch
 from ..store import KVStore, destroy, scratch
 
 
@@ -75,7 +77,13 @@ class Bench:
     def fillseq(self):
         return self._fill(True, self.setup.num, F.col("id"))
 
-    fillbatch = fillseq
+    def fillbatch(self):
+        """Commits of ``batch`` entries, one after the other."""
+        db, n = self.fresh(), self.setup.num
+        for a in range(0, n, self.setup.batch):
+            rows = self._rows(min(self.setup.batch, n - a), F.col("id") + a)
+            db.bulk_put(rows)
+        return n
 
     def fillrandom(self):
         return self._fill(True, self.setup.num, random_number(self.setup, self.setup.num))
@@ -84,7 +92,11 @@ class Bench:
         return self._fill(False, self.setup.num, random_number(self.setup, self.setup.num, 1))
 
     def fillsync(self):
-        return self._fill(True, max(1, self.setup.num // 1000), random_number(self.setup, self.setup.num))
+        """A durable commit for each entry."""
+        db, n = self.fresh(), max(1, self.setup.num // 1000)
+        for r in self._rows(n, random_number(self.setup, self.setup.num)).toLocalIterator():
+            db.write(WriteBatch().put(r["key"], r["value"]), sync=True)
+        return n
 
     def fill100K(self):
         return self._fill(True, max(1, self.setup.num // 1000), random_number(self.setup, self.setup.num), 100_000)
@@ -147,13 +159,29 @@ class Bench:
         return self._seek((F.col("id") * 50 + random_number(self.setup, 100, 5)) % self.setup.num)
 
     def readwhilewriting(self):
-        """Reads at a snapshot while a commit moves the store on; they must not see it."""
-        db = self.open()
-        at = db.snapshot()
-        before = db.multi_get(self.spark.range(self._reads()).select(key(random_number(self.setup, self.setup.num, 6)).alias("key")), at)
-        db.bulk_put(self._rows(max(1, self.setup.num // 10), random_number(self.setup, self.setup.num, 7)))
-        self._run(before)
-        db.release(at)
+        """Reads at a snapshot while another thread commits until they are done; they must
+        not see what it writes."""
+        db, stop = self.open(), threading.Event()
+        at, wrote, errors = db.snapshot(), [], []
+
+        def write():
+            try:
+                while not wrote or not stop.is_set():
+                    db.bulk_put(self._rows(max(1, self.setup.num // 10), random_number(self.setup, self.setup.num, 7 + len(wrote))))
+                    wrote.append(db.version.number)
+            except Exception as e:
+                errors.append(e)
+
+        writer = threading.Thread(target=write)
+        writer.start()
+        try:
+            self._run(db.multi_get(self.spark.range(self._reads()).select(key(random_number(self.setup, self.setup.num, 6)).alias("key")), at))
+        finally:
+            stop.set()
+            writer.join()
+            db.release(at)
+        if errors:
+            raise errors[0]
         return self._reads()
 
     # Maintenance

@@ -22,6 +22,12 @@ class _File(InputPartition):
         self.path = path
 
 
+def _number(info) -> tuple[int, str]:
+    """Files in the order of their numbers, as logs are replayed."""
+    head = info.base_name.partition(".")[0]
+    return (int(head) if head.isdigit() else -1), info.path
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, suffixes: tuple[str, ...], decode, paranoid: bool):
         self.path, self.suffixes, self.decode, self.paranoid = path, suffixes, decode, paranoid
@@ -37,7 +43,7 @@ class _Reader(DataSourceReader):
         at, path = self._fs()
         info = at.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else at.get_file_info(fs.FileSelector(path))
-        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and f.path.endswith(self.suffixes)]
+        return [_File(f.path) for f in sorted(found, key=_number) if f.type == fs.FileType.File and f.path.endswith(self.suffixes)]
 
     def read(self, part):
         if part is None:  # an empty folder

@@ -68,6 +68,9 @@ class Options:
     bloom: bool = True
     keep_versions: int = 10  # old manifests that readers may still hold
     lease_seconds: float = 60.0
+    auto_compact: bool = False  # compact after commits, and before them while level 0 is full
+    stop_files: int = 12  # files of level 0 at which a commit waits for a compaction
+    cached_reads: int = 0  # sets of files whose rows stay in executor memory, the last used ones
 
     def clipped(self) -> Options:
         clip = lambda v, lo, hi: max(lo, min(hi, v))
@@ -225,6 +228,7 @@ class KVStore:
     def __init__(self, spark: SparkSession, path: str, options: Options, version: Version, files: Files):
         self.spark, self.path, self.options, self.version, self._fs = spark, path.rstrip("/"), options, version, files
         self.snapshots: list[int] = []
+        self._cached: dict[tuple[str, ...], DataFrame] = {}
         self.closed = False
 
     # Opening and closing
@@ -279,6 +283,8 @@ class KVStore:
 
     def close(self) -> None:
         if not self.closed:
+            for df in self._cached.values():
+                df.unpersist()
             self._lease.release()
             self.closed = True
 
@@ -309,6 +315,13 @@ class KVStore:
         rows = [(last + 1 + k, kind, bytearray(key), None if value is None else bytearray(value)) for k, (kind, key, value) in enumerate(batch.ops)]
         self._append(self.spark.createDataFrame(rows, OPS), last + len(rows))
 
+    def write_group(self, batches: list[WriteBatch], sync: bool = False) -> None:
+        """Several batches as one commit, in their order."""
+        group = WriteBatch()
+        for b in batches:
+            group.append(b)
+        self.write(group, sync)
+
     def put(self, key: bytes, value: bytes) -> None:
         self.write(WriteBatch().put(key, value))
 
@@ -367,10 +380,15 @@ class KVStore:
         self._append(ops.select("seq", F.col("kind").cast("byte").alias("kind"), "key", "value"), max(high, self.version.last_seq), stream)
 
     def _append(self, ops: DataFrame, last: int, stream: tuple[str, int] | None = None) -> None:
+        full = [f for f in self.version.files if f.level == 0]
+        if self.options.auto_compact and len(full) >= self.options.stop_files:
+            self._merge(self._closure(full, upto=1), 1)
         number = self.version.next_file
         metas = self._segment(ops, number, 0)
         streams = self.version.streams if stream is None else {**self.version.streams, stream[0]: stream[1]}
         self._commit(replace(self.version, last_seq=last, next_file=number + 1, files=self.version.files + metas, streams=streams))
+        if self.options.auto_compact:
+            self.maybe_compact()
 
     def _order(self, key: str = "key") -> Column:
         return F.col(key) if self.options.sort_key is None else self.options.sort_key(F.col(key))
@@ -410,7 +428,15 @@ class KVStore:
     def _read_files(self, files: list[FileMeta]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], OPS)
-        return self.spark.read.schema(OPS).parquet(*(f"{self.path}/segments/{f.path}" for f in files))
+        key = tuple(sorted(f.path for f in files))
+        rows = self._cached.pop(key, None)
+        if rows is None:
+            rows = self.spark.read.schema(OPS).parquet(*(f"{self.path}/segments/{f.path}" for f in files))
+        if self.options.cached_reads:  # executors hold what fits, and read the rest again
+            self._cached[key] = rows.persist()
+            while len(self._cached) > self.options.cached_reads:
+                self._cached.pop(next(iter(self._cached))).unpersist()
+        return rows
 
     def _ordered(self, keys: list[bytes | None]) -> list[bytes | None]:
         """The keys as the store orders them."""
@@ -705,3 +731,9 @@ def repair(spark: SparkSession, path: str, options: Options | None = None) -> li
 
 def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE)
+
+
+def failing_state(spark: SparkSession, error: Exception) -> DataFrame:
+    """A state whose rows cannot be read: any action ends in the text of the error."""
+    fail = F.raise_error(F.lit(str(error)))
+    return spark.range(1).select(*(fail.cast(f.dataType).alias(f.name) for f in STATE))

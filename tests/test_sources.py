@@ -194,3 +194,27 @@ def test_crc_of_parts(data, times):
     data *= times
     assert crc32c(data) == plain(data)
     assert crc32c(data[99:], crc32c(data[:99])) == plain(data)
+
+
+def test_own_filter_policy():
+    """A policy by first letters: tables name it, and other readers do without."""
+
+    class Letters:
+        name = "letters"
+
+        def create(self, keys):
+            return bytes(sorted({k[0] for k in keys})) + b"."
+
+        def may_match(self, key, data):
+            asked.append(key)
+            return key[0] in data[:-1]
+
+    asked = []
+    t = sst.TableBuilder(64, policy=Letters())
+    for k in range(40):
+        t.add(b"k%02d" % k, b"v")
+    data = t.finish()
+    own, other = sst.Table(data, policy=Letters()), sst.Table(data)
+    assert own.filter is not None and other.filter is None
+    assert own.get(b"k07") == other.get(b"k07") == b"v" and own.get(b"a") is other.get(b"a") is None
+    assert asked == [b"k07", b"a"]

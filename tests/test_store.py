@@ -6,10 +6,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from kvlake.model import InvalidArgument, NotFound, NotSupported, StoreIOError
+from kvlake.model import Corruption, InvalidArgument, NotFound, NotSupported, StoreIOError
 from kvlake.sources.batch import WriteBatch
 from kvlake.sources.wal import LogWriter
-from kvlake.store import KVStore, destroy, repair
+from kvlake.store import KVStore, destroy, empty_state, failing_state, repair
 
 
 def open_(spark, path, **options):
@@ -286,3 +286,21 @@ def test_custom_order_in_compaction(spark, tmp_path):
         db.compact()
         assert [bytes(r.key) for r in db.scan().collect()] == [b"b", b"z", b"aaaa"] and db.ops().count() == 3
         assert db.approximate_sizes([(b"a", b"zz")])[0] > 0
+
+
+def test_groups_back_pressure_and_cache(spark, tmp_path):
+    with open_(spark, tmp_path / "db", auto_compact=True, stop_files=3, cached_reads=2) as db:
+        for k in range(6):
+            db.write_group([WriteBatch().put(b"k", b"%d" % k), WriteBatch().put(b"j%d" % k, b"x").delete(b"j%d" % (k - 1))])
+            assert sum(f.level == 0 for f in db.version.files) < 4
+        assert db.version.last_seq == 18 and db.get(b"k") == b"5"
+        assert sorted(bytes(r.key) for r in db.state().collect()) == [b"j5", b"k"]
+        for _ in range(3):
+            db.state().count()
+        assert 0 < len(db._cached) <= 2 and int(db.property("approximate-memory-usage")) > 0
+
+
+def test_failing_and_empty_state(spark):
+    assert empty_state(spark).count() == 0
+    with pytest.raises(Exception, match="Corruption: block"):
+        failing_state(spark, Corruption("block")).collect()

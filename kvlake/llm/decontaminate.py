@@ -410,3 +410,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     m = m.where(~((_n_hit() > 0) & (100 * _n_hit() >= coverage_percent * F.col("_kv_words"))))
     out = m.select(*docs.columns, "_kv_bytes").mapInArrow(_cut(text_col, docs.columns), docs.schema)
     return out
+
+
+def oracle(window: int = WINDOW, coverage_percent: int = COVERAGE_PERCENT) -> str:
+    """``contamination`` of the test tables in DuckDB SQL, by joining all windows as texts."""
+    upper = "".join(map(chr, range(65, 91)))
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH doc AS (SELECT doc_id, {words} AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+sized AS (SELECT item, w, least({window}, len(w)) AS k FROM item WHERE len(w) > 0),
+owned AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS part FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM sized)),
+placed AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS part FROM
+  (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM doc, (SELECT DISTINCT k FROM owned) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, p, k, item FROM placed JOIN owned USING (k, part)),
+held AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hit) GROUP BY doc_id),
+met AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND {100 // coverage_percent} * n_hit >= len(w), false) AS contaminated
+FROM doc LEFT JOIN held USING (doc_id) LEFT JOIN met USING (doc_id)"""

@@ -58,4 +58,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op2_chat_format": chat_format.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op2_chat_format": chat_format.oracle(), "op3_decontaminate": decontaminate.oracle()}

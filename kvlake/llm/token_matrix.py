@@ -12,8 +12,14 @@ on their own, so there is no shuffle, memory is bounded and a lost task is redon
 from its input split alone.  At most the last rows of a block are partly empty.
 
 Defined results: a null or empty text is one segment of no tokens; repeated rows
-are packed one by one; an empty table gives an empty result; columns other than
-id and text are not read.
+are packed one by one, equal lengths in the order they were read; a text of any length
+becomes as many rows as it needs; an empty table gives an empty result; ids are integers or
+null; columns other than id and text are not read.
+
+The tokenizer is a parameter: a file of ranks (base64 token and number a line) and the
+pattern that cuts texts before them.  ``TOKENIZER`` is where the vocabularies of public
+tokenizers lie here; the driver reads the file once and broadcasts it (half a megabyte),
+and a missing file is an error before anything runs.
 """
 
 from __future__ import annotations

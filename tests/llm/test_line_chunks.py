@@ -99,3 +99,10 @@ def test_whole_table(spark):
     got = C.report(docs).withColumnRenamed("doc_id", "i").join(spark.createDataFrame(list(want.items()), "i long, t string"), "i")
     assert got.where(F.col("text_sha256") != F.sha2("t", 256)).count() == 0
     assert got.where("n_removed > 0").count() > 0
+
+
+def test_very_long_text_and_line(spark):
+    long = "\n".join(f"line {k} of many words " + "z " * (k % 7) for k in range(200_000))
+    rows = [(0, long), (1, "head\n" + long), (2, "x" * 3_000_000), (3, "x" * 3_000_000)]
+    got = {r.doc_id: r.text for r in C.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), passages=True).collect()}
+    assert got[0] == long and got[1] == "head" and got[2] == got[3] == rows[2][1]  # one word is not fifty

@@ -251,3 +251,12 @@ def test_words_with_equal_polynomial_hashes_stay_apart(spark):
     rows = [(0, x), (1, y), (2, f"{x} {x}"), (3, f"{x} {y}")]
     got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_very_long_texts(spark):
+    """Texts of a million words, alike, edited and apart, beside short ones."""
+    rnd = random.Random(3)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(10**6)]
+    rows = [(0, " ".join(long)), (1, " ".join(long[:-9] + ["x"] * 9)), (2, " ".join(reversed(long))), (3, "short text of six words here"), (4, None), (5, "")]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4}

@@ -57,3 +57,9 @@ def test_pattern_is_the_tokenizers(spark):
     mine, theirs = (tiktoken.Encoding("t", pat_str=p, mergeable_ranks=M._encoder(open(M.TOKENIZER, "rb").read(), M.PATTERN)._mergeable_ranks, special_tokens={}) for p in (M.PATTERN, P.PATTERN))
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50).collect():
         assert mine.encode_ordinary(r.text) == theirs.encode_ordinary(r.text)
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "the of the of")] * 5 + [(2, None)] * 3, "doc_id long, text string").coalesce(1)
+    found = M.segments(M.token_matrix(df, row_tokens=64), 64).collect()
+    assert sorted(r.doc_id for r in found) == [1] * 5 + [2] * 3 and len({bytes(r.ids) for r in found if r.doc_id == 1}) == 1

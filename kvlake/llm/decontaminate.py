@@ -319,9 +319,11 @@ def _row_key(docs: DataFrame, text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] | None = None, cut: float | None = None) -> DataFrame:
     """The kept columns with ``_kv_words``, hit spans in words ``_kv_spans`` and in
-    bytes ``_kv_bytes``, and the sorted ids of the items met, ``_kv_items``."""
+    bytes ``_kv_bytes``, and the sorted ids of the items met, ``_kv_items``.  With ``cut``, the
+    columns of ``docs`` alone: hits are taken out of the texts, and documents of which they
+    are ``cut`` percent or more go."""
     spark = docs.sparkSession
     small_batches(spark)
     if taken := [c for c in docs.columns if c.startswith("_kv_")]:
@@ -330,19 +332,23 @@ def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     names = list(dict.fromkeys([*keep, text_col]))
     table, blocks = automata(benchmark, item_id, item_text, window, block_words)
 
-    def passed(rows: DataFrame, block: int, names: list[str], hits_only: bool):
+    def sent_block(block: int):
         auto = table.where(F.col("block") == block).select("auto").collect()  # one block at a time
-        sent = spark.sparkContext.broadcast(bytes(auto[0]["auto"]) if auto else pickle.dumps(build([], window)))
-        kind = T.StructType([*(rows.schema[c] for c in names), *FOUND])
-        return rows.mapInArrow(_matcher(sent, text_col, names, hits_only), kind), sent
+        return spark.sparkContext.broadcast(bytes(auto[0]["auto"]) if auto else pickle.dumps(build([], window)))
 
+    kind = lambda names: T.StructType([*(docs.schema[c] for c in names), *FOUND])
     if blocks == 1:
-        out, _ = passed(docs.select(*names), 0, names, False)
+        sent = sent_block(0)
+        released(table)
+        if cut is not None:
+            return docs.mapInArrow(_cleaner(sent, text_col, docs.columns, cut), docs.schema)
+        out = docs.select(*names).mapInArrow(_matcher(sent, text_col, names, False), kind(names))
         return out.select(*keep, *(f.name for f in FOUND))
     keyed = docs.select(F.col(text_col), _row_key(docs, text_col).alias("_kv_key"))
     hits = None
     for block in range(blocks):
-        found, sent = passed(keyed, block, [text_col, "_kv_key"], True)
+        sent = sent_block(block)
+        found = keyed.mapInArrow(_matcher(sent, text_col, [text_col, "_kv_key"], True), T.StructType([docs.schema[text_col], T.StructField("_kv_key", T.BinaryType()), *FOUND]))
         found = written(found.select("_kv_key", *(f.name for f in FOUND)).dropDuplicates(["_kv_key"]))
         sent.destroy()
         hits = found if hits is None else hits.unionByName(found)
@@ -352,13 +358,17 @@ def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     out = docs.select(*names).withColumn("_kv_key", _row_key(docs, text_col)).join(written(hits), "_kv_key", "left")
     count = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
     none = F.array().cast(SPAN)
-    return out.select(
+    out = out.select(
         *keep,
         count.alias("_kv_words"),
         _united("_kv_spans", none).alias("_kv_spans"),
         F.coalesce(F.array_sort(F.array_distinct("_kv_items")), F.array().cast("array<string>")).alias("_kv_items"),
         _united("_kv_bytes", none).alias("_kv_bytes"),
     )
+    if cut is None:
+        return out
+    out = out.where(~((_n_hit() > 0) & (100 * _n_hit() >= cut * F.col("_kv_words"))))
+    return out.select(*docs.columns, "_kv_bytes").mapInArrow(_cut(text_col, docs.columns), docs.schema)
 
 
 def _united(spans: str, none):
@@ -383,33 +393,53 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return m.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(100 // COVERAGE_PERCENT) * F.col("n_hit") >= F.col("n_words")))
 
 
+def _without(text: str, spans) -> str:
+    """The text without (first byte, last byte + 1)."""
+    raw, at, parts = text.encode(), 0, []
+    for a, b in spans:
+        parts.append(raw[at:a])
+        at = b
+    return b"".join([*parts, raw[at:]]).decode()
+
+
 def _cut(text_col: str, names: list[str]):
     def run(batches):
         for batch in batches:
             col = lambda c: batch.column(batch.schema.get_field_index(c))
-            texts = []
-            for text, spans in zip(col(text_col).to_pylist(), col("_kv_bytes").to_pylist()):
-                if spans:
-                    raw, at, parts = text.encode(), 0, []
-                    for s in spans:
-                        parts.append(raw[at : s["start"]])
-                        at = s["end"]
-                    text = b"".join([*parts, raw[at:]]).decode()
-                texts.append(text)
+            texts = [_without(t, [(s["start"], s["end"]) for s in spans]) if spans else t for t, spans in zip(col(text_col).to_pylist(), col("_kv_bytes").to_pylist())]
             cols = [pa.array(texts, batch.schema.field(text_col).type) if c == text_col else col(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
+def _cleaner(sent, text_col: str, names: list[str], cut: float):
+    """Matching and cutting in one pass."""
+
+    def run(batches):
+        matcher = None
+        for batch in batches:
+            matcher = matcher or Matcher(pickle.loads(sent.value))
+            col = batch.column(batch.schema.get_field_index(text_col))
+            keep, new = [], {}
+            for k, (n, spans, _, places) in enumerate(match_texts(col, matcher)):
+                hit = sum(e - s for s, e in _merge(spans))
+                keep.append(not (hit and 100 * hit >= cut * n))
+                if hit and keep[-1]:
+                    new[k] = _without(col[k].as_py(), _merge(places))
+            if new:
+                texts = pa.array([new[k] if k in new else t for k, t in enumerate(col.to_pylist())], col.type)
+                batch = batch.set_column(batch.schema.get_field_index(text_col), batch.schema.field(text_col), texts)
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage_percent: float = COVERAGE_PERCENT, **options) -> DataFrame:
     """Documents without benchmark passages: spans of window length or more are
     cut out of the text; a document of which they cover ``coverage_percent`` or
     more goes as a whole.  Columns are those of ``docs``."""
-    m = matched(docs, benchmark, text_col, **options)
-    m = m.where(~((_n_hit() > 0) & (100 * _n_hit() >= coverage_percent * F.col("_kv_words"))))
-    out = m.select(*docs.columns, "_kv_bytes").mapInArrow(_cut(text_col, docs.columns), docs.schema)
-    return out
+    return matched(docs, benchmark, text_col, cut=coverage_percent, **options)
 
 
 def oracle(window: int = WINDOW, coverage_percent: int = COVERAGE_PERCENT) -> str:

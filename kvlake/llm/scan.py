@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 4 << 20  # texts are scanned in slices of about this many bytes
+SLICE_BYTES = 1 << 20  # texts are scanned in slices of about this many bytes; arrays of a slice take some 50 times that
 _TABLES: dict = {}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -89,12 +89,13 @@ def test_whole_table(spark):
         assert (r.n_words, r.n_hit, r.n_items) == (len(w), len(hit), len(met))
 
 
-def test_decontaminate_cuts_and_drops(spark):
+@pytest.mark.parametrize("block", [25, 500_000])
+def test_decontaminate_cuts_and_drops(spark, block):
     passage = " ".join(f"w{k}" for k in range(20))
     long = " ".join(f"z{k}" for k in range(1000))
     docs = spark.createDataFrame([(1, passage, "en", 0), (2, f"{long}. Été {passage}! {long}", "en", 0), (3, "clean text", "en", 0), (4, None, None, 0)], SCHEMA)
-    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
-    out = {r.doc_id: r.text for r in D.decontaminate(docs, bench).collect()}
+    bench = spark.createDataFrame([(1, passage), *((k, f"other item {k} " * 5) for k in range(2, 9))], "item_id long, text string")
+    out = {r.doc_id: r.text for r in D.decontaminate(docs, bench, block_words=block).collect()}
     assert out == {2: f"{long}. Été ! {long}", 3: "clean text", 4: None}
     assert D.decontaminate(docs, bench).schema == docs.schema
 

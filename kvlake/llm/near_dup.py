@@ -359,7 +359,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     released(member, pivot)
 
     ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "_kv_node")
-    needed = written(rows.join(ends, "_kv_node", "left_semi").groupBy("_kv_node").agg(F.min("_kv_text").alias("_kv_text")).select("_kv_text"))
+    # copies are one row before the join, however many there are
+    needed = written(rows.groupBy("_kv_node").agg(F.min("_kv_text").alias("_kv_text")).join(ends, "_kv_node", "left_semi").select("_kv_text"))
     texts = slim.join(needed.hint("merge"), "_kv_text", "left_semi").groupBy("_kv_text").agg(F.first(text_col).alias("text_")).select("text_")
     sets = written(texts.mapInArrow(_shingler("text_"), T.StructType(binary("_kv_node", "_kv_keys", "_kv_counts") + [T.StructField("_kv_l", T.DoubleType())])))
 
@@ -395,7 +396,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     per_node = per_node.join(roots.withColumnRenamed("node", "_kv_node"), "_kv_node", "left").select("_kv_node", "least", "any", "n", F.coalesce("root", "_kv_node").alias("root"))
     total = per_node.groupBy("root").agg(F.min("least").alias("least"), F.min("any").alias("any"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
     total = total.select("root", F.col("least.id").alias("class_id"), "class_size", "n_texts", F.coalesce("least.text", "any").alias("keep"))
-    return members, per_node.select("_kv_node", "root").join(total, "root").drop("root")
+    # written, so that the join with the members reads plain exchanges and many copies can be split
+    return members, written(per_node.select("_kv_node", "root").join(total, "root").drop("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

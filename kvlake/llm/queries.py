@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, license_scan, line_chunks, lm_score, near_dup, packing, pii, quality, token_matrix
+from . import base_columns, chat_format, decontaminate, license_scan, line_chunks, lm_score, near_dup, packing, pii, quality, token_matrix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,17 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def base_pii_columns(spark, sf_dir):
+    return base_columns.pii_base(table(spark, sf_dir, "documents"))
+
+
+def base_quality_columns(spark, sf_dir):
+    return base_columns.quality_base(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_decontaminate, op4_pii, op5_pack_buckets, op6_token_matrix, op7_line_chunks, op8_probminhash, op9_ce_difference, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_decontaminate, op4_pii, op5_pack_buckets, op6_token_matrix, op7_line_chunks, op8_probminhash, op9_ce_difference, op10_quality_rules, base_pii_columns, base_quality_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op2_chat_format": chat_format.oracle(), "op3_decontaminate": decontaminate.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op2_chat_format": chat_format.oracle(), "op3_decontaminate": decontaminate.oracle(), "base_pii_columns": base_columns.pii_sql(), "base_quality_columns": base_columns.quality_sql()}

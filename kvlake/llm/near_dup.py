@@ -386,7 +386,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         differ = written(differ)
         crossing = _crossing(group, differ)
         more = verified(crossing)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.where("link").select("a", "b")))
+        if not more.where("link").isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.where("link").select("a", "b")))
         released(differ, crossing, more)
     released(pairs, tested, sets, needed, mixed, group)
 

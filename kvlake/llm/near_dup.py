@@ -359,9 +359,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     released(member, pivot)
 
     ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "_kv_node")
-    # copies are one row before the join, however many there are
-    needed = written(rows.groupBy("_kv_node").agg(F.min("_kv_text").alias("_kv_text")).join(ends, "_kv_node", "left_semi").select("_kv_text"))
-    texts = slim.join(needed.hint("merge"), "_kv_text", "left_semi").groupBy("_kv_text").agg(F.first(text_col).alias("text_")).select("text_")
+    # one document of each text that is needed: copies are one row before the first join, and
+    # with the id as a part of the key their texts are dealt apart in the second
+    one = F.min(F.struct("_kv_text", F.col(id_col).alias("_kv_id"))).alias("m")
+    needed = written(rows.groupBy("_kv_node").agg(one).join(ends, "_kv_node", "left_semi").select(F.col("m._kv_text").alias("_kv_needed"), "m._kv_id"))
+    texts = slim.join(needed.hint("merge"), (F.col("_kv_text") == F.col("_kv_needed")) & F.col(id_col).eqNullSafe(F.col("_kv_id")), "left_semi")
+    texts = texts.groupBy("_kv_text", id_col).agg(F.first(text_col).alias("text_")).select("text_")
     sets = written(texts.mapInArrow(_shingler("text_"), T.StructType(binary("_kv_node", "_kv_keys", "_kv_counts") + [T.StructField("_kv_l", T.DoubleType())])))
 
     def with_sets(pairs: DataFrame) -> DataFrame:

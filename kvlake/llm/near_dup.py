@@ -399,8 +399,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     per_node = members.groupBy("_kv_node").agg(first.alias("least"), F.min("_kv_text").alias("any"), F.count("*").alias("n"))
     per_node = per_node.join(roots.withColumnRenamed("node", "_kv_node"), "_kv_node", "left").select("_kv_node", "least", "any", "n", F.coalesce("root", "_kv_node").alias("root"))
     total = per_node.groupBy("root").agg(F.min("least").alias("least"), F.min("any").alias("any"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
-    total = total.select("root", F.col("least.id").alias("class_id"), "class_size", "n_texts", F.coalesce("least.text", "any").alias("keep"))
-    # written, so that the join with the members reads plain exchanges and many copies can be split
+    # written, as is what is returned, so that these joins read plain exchanges and a large
+    # class or many copies can be split
+    total = written(total.select("root", F.col("least.id").alias("class_id"), "class_size", "n_texts", F.coalesce("least.text", "any").alias("keep")))
     return members, written(per_node.select("_kv_node", "root").join(total, "root").drop("root"))
 
 

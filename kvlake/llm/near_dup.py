@@ -19,8 +19,9 @@ were edited from; every member is compared with the pivot, and the links so far
 classes.  All bands of one pivot are one group, which is looked through once more for
 links between different classes, by the differences of its members from the pivot
 (``_crossing``): texts that differ from it in other places part without being
-compared, and no link is lost.  The work is in proportion to the members and their
-differences, whatever share of the documents a group has.  Classes are connected
+compared, and no link is lost.  The tables are in proportion to the members and their
+differences, whatever share of the documents a group has; only members of different
+classes that share a rare difference are held against each other.  Classes are connected
 components, found by alternating large-star and small-star steps on tables.  Nothing
 but counts reaches the driver.
 
@@ -40,7 +41,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -292,26 +293,41 @@ def _crossing(group: DataFrame, differ: DataFrame) -> DataFrame:
         nodes = nodes.select("pivot", "node", "root", "z", "big", F.coalesce("s", F.lit(0)).alias("s"), across.alias("across"), among.alias("among"))
         nodes = written(nodes.where("s >= across or s >= among"))
         used += [held, both, least, nodes]
-    order = Window.partitionBy("pivot", "node").orderBy("held", "shingle")
-    rank = both.join(nodes, ["pivot", "node"]).withColumn("rank", F.row_number().over(order))
-    zero = nodes.withColumns({"shingle": F.lit(0).cast("long"), "rank": F.lit(0)})
-    rank = written(rank.select(*zero.columns).unionByName(zero))
-
-    def side(name: str, needed: str, rows: DataFrame):
-        first = F.when(F.col("rank") > 0, F.col("rank") <= F.col("s") - F.greatest(F.col(needed), F.lit(1)) + 1).otherwise(F.col(needed) <= 0)
-        return rows.where(first).select("pivot", "shingle", F.struct("node", "root", "z", "s").alias(name))
+    # one row for each node meets its shingles, from the rarest on; only those it needs come out
+    own = both.groupBy("pivot", "node").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("own"))
+    first = lambda needed: F.col("s") - F.greatest(F.col(needed), F.lit(1)) + 1
+    longest = F.greatest(first("across"), F.when(F.col("among").isNotNull(), first("among")), F.lit(0)).cast("int")
+    names = ["pivot", "node", "root", "z", "big", "s", "across", "among"]
+    rank = nodes.join(own, ["pivot", "node"]).select(*names, F.posexplode(F.slice("own", F.lit(1), longest)).alias("at", "one"))
+    rank = rank.select(*names, F.col("one.shingle").alias("shingle"), (F.col("at") + 1).alias("rank"))
+    zero = nodes.where("across <= 0 or among <= 0").select(*names, F.lit(0).cast("long").alias("shingle"), F.lit(0).alias("rank"))
+    rank = written(rank.unionByName(zero))
+
+    def needing(needed: str, rows: DataFrame) -> DataFrame:
+        return rows.where(F.when(F.col("rank") > 0, F.col("rank") <= first(needed)).otherwise(F.col(needed) <= 0))
 
     def met(x: DataFrame, y: DataFrame, apart):
+        x, y = (d.select("pivot", "shingle", F.struct("node", "root", "z", "s", "rank").alias(c)) for d, c in ((x, "x"), (y, "y")))
         o = (F.col("x.z") + F.col("y.z")) / 2 - 1e-6
-        may = (o <= F.least("x.s", "y.s")) & ((F.col("shingle") != 0) | (o <= 0))
+        # what is before the first shingle in common is not in common
+        may = (o <= F.least(F.col("x.s") - F.col("x.rank"), F.col("y.s") - F.col("y.rank")) + 1) & ((F.col("shingle") != 0) | (o <= 0))
         both = x.join(y, ["pivot", "shingle"]).where(apart & may)
         return both.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
 
     big, small = rank.where("big"), rank.where("not big")
-    pairs = met(side("x", "across", big), side("y", "across", small), F.lit(True))
-    pairs = pairs.unionByName(met(side("x", "among", small), side("y", "among", small), (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))))
+    pairs = met(needing("across", big), needing("across", small), F.lit(True))
+    # a class is not held against itself: the one that has most nodes of a shingle meets the others
+    # alone, so no more than twice the pairs of different classes are looked at
+    among = needing("among", small)
+    by_class = among.groupBy("pivot", "shingle", "root").agg(F.count("*").alias("n"))
+    main = by_class.groupBy("pivot", "shingle").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    main = written(main.select("pivot", "shingle", F.col("m.root").alias("main")))
+    among = written(among.join(main, ["pivot", "shingle"]))
+    most, others = among.where("root = main"), among.where("root <> main")
+    pairs = pairs.unionByName(met(most, others, F.lit(True)))
+    pairs = pairs.unionByName(met(others, others, (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))))
     out = written(pairs.distinct())
-    released(*used, rank)
+    released(*used, rank, main, among)
     return out
 
 

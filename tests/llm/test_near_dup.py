@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kvlake.llm import near_dup as N
 
@@ -227,6 +228,62 @@ def test_near_and_apart_in_one_group(spark):
     assert got == want
 
 
+def join_rows(spark, since):
+    """Rows that each join made in the SQL executions from ``since`` on, by its keys and kind."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    out = Counter()
+    for e in range(since, store.executionsCount()):
+        of = store.executionsList(e, 1).head()
+        values, nodes = store.executionMetrics(of.executionId()), store.planGraph(of.executionId()).allNodes()
+        for k in range(nodes.size()):
+            for m in range(nodes.apply(k).metrics().size()) if "Join" in nodes.apply(k).name() else ():
+                metric = nodes.apply(k).metrics().apply(m)
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    desc = re.sub(r"#\d+L?|^\w+Join ", "", nodes.apply(k).desc())
+                    out[desc] += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return out
+
+
+def test_classes_within_one_group(spark, monkeypatch):
+    """A text and its copies, and copies of two texts apart from it and from each other, with some
+    between these two: as all pairs give, one row for each node where it meets its shingles,
+    and no class held against itself."""
+    rnd = random.Random(21)
+    base, many = [f"w{k}" for k in range(150)], [f"y{k}" for k in range(5000)]
+    places = [10 + 24 * k for k in range(6)]
+    with_ = lambda name, which: [f"{name}{k}" if k in which else w for k, w in enumerate(base)]
+    rows = [edited(rnd, base, rnd.randrange(1, 3), many) for _ in range(400)]
+    rows += [edited(rnd, with_("q", places), rnd.randrange(1, 3), many) for _ in range(300)]
+    rows += [edited(rnd, with_("r", [k + 5 for k in places]), rnd.randrange(1, 3), many) for _ in range(200)]
+    rows += [edited(rnd, with_("s", rnd.sample(range(5, 145), 5)), 3, [f"z{k}" for k in range(4)]) for _ in range(100)]
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    sets = [set(shingles(w)) for _, w in rows]
+    similar = lambda a: [b for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    want = linked(rows, similar)
+    assert sorted(Counter(want.values()).values())[-3:] == [200, 300, 400]
+
+    nodes, looked, write = [], [], N.written
+
+    def written(df):
+        out = write(df)
+        if {"pivot", "node", "z"} <= set(df.columns):
+            nodes.append(out.select("pivot", "node").distinct().count())
+        if {"shingle", "root", "big"} <= set(df.columns):
+            main = "root = main" if "main" in out.columns else "false"  # these are not joined with each other
+            n = out.where("not big and rank > 0 and rank <= s - among + 1").groupBy("pivot", "shingle")
+            looked.append(sum(r.n**2 - r.m**2 for r in n.agg(F.count("*").alias("n"), F.count_if(F.expr(main)).alias("m")).collect()))
+        return out
+
+    monkeypatch.setattr(N, "written", written)
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()} == want
+    made = {k: n for k, n in join_rows(spark, since).items() if re.match(r"\[pivot, node\], \[pivot, node\], Inner", k)}
+    assert made and max(made.values()) <= max(nodes)
+    assert looked[-1] < 100 * len(rows)
+
+
 def test_repeated_shingles_in_one_group(spark):
     """The same with repeated lines, where the two similarities differ."""
     rnd = random.Random(13)

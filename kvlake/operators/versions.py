@@ -22,7 +22,9 @@ def live_files(*versions: DataFrame) -> DataFrame:
 
 
 def obsolete(directory: DataFrame, live: DataFrame) -> DataFrame:
-    return directory.join(live, "file_no", "left_anti").select("file_no")
+    """Files of the directory that are not live, each once: a number can stand in files of
+    several levels."""
+    return directory.join(live, "file_no", "left_anti").select("file_no").distinct()
 
 
 def keep_files(names: DataFrame, live: DataFrame, log_number: int, previous_log: int, manifest: int) -> DataFrame:

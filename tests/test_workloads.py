@@ -97,6 +97,11 @@ def test_edits(spark):
     assert [r.file_no for r in versions.apply_edits(edits).collect()] == [1]
 
 
+def test_obsolete_files_once(spark):
+    names, live = (spark.createDataFrame([(n,) for n in numbers], "file_no long") for numbers in ([1, 1, 2, 3, 3, 3], [2, 2]))
+    assert sorted(r.file_no for r in versions.obsolete(names, live).collect()) == [1, 3]
+
+
 def test_visibility_fixtures(spark):
     log = spark.createDataFrame(
         [(100, 1, "alpha", "new-alpha"), (90, 1, "alpha", "old-alpha"), (105, 0, "bravo", None), (100, 1, "bravo", "before"), (80, 1, "charlie", "c"), (120, 1, "delta", "future")],

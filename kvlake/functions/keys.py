@@ -83,9 +83,8 @@ def debug_string(key: Column, seq: Column, kind: Column) -> Column:
 
 def escape(data: Column) -> Column:
     """Printable ASCII as it is, all other bytes as a backslash, x and two hex digits."""
-    h = F.lower(F.hex(data))
-    one = F.transform(
-        F.sequence(F.lit(0), F.length(data) - 1),
-        lambda k: F.when(F.substring(h, 2 * k + 1, F.lit(2)).between("20", "7e"), F.decode(F.unhex(F.substring(h, 2 * k + 1, F.lit(2))), "US-ASCII")).otherwise(F.concat(F.lit("\\x"), F.substring(h, 2 * k + 1, F.lit(2)))),
-    )
-    return F.when(F.length(data) == 0, F.lit("")).otherwise(F.array_join(one, ""))
+    text = F.decode(data, "ISO-8859-1")  # a character for each byte
+    runs = F.regexp_extract_all(text, F.lit("[ -~]+|[^ -~]+"), F.lit(0))
+    coded = lambda run: F.regexp_replace(F.lower(F.hex(F.encode(run, "ISO-8859-1"))), "..", r"\\x$0")
+    parts = F.transform(runs, lambda run: F.when(F.substring(run, 1, 1).between(" ", "~"), run).otherwise(coded(run)))
+    return F.when(text.rlike("[^ -~]"), F.array_join(parts, "")).otherwise(text)
